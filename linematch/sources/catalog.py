@@ -39,12 +39,13 @@ def unquote(field: Column) -> Column:
     return trim(F.regexp_replace(trim(field), '(?s)^"(.*)"$', "$1"))
 
 
-def list_field(fields: list[Column], limit: int, trimmed: bool = True) -> Column:
-    """Non-empty entries of list fields in order, at most limit in all."""
+def list_field(fields: list[Column], limit: int | None, trimmed: bool = True) -> Column:
+    """Non-empty entries of list fields in order, at most limit in all; None for no limit."""
     entries = F.split(F.concat_ws("|", *fields), LIST_MARKS)
     if trimmed:
         entries = F.transform(entries, trim)
-    return F.slice(F.filter(entries, lambda x: x != ""), 1, limit)
+    entries = F.filter(entries, lambda x: x != "")
+    return entries if limit is None else F.slice(entries, 1, limit)
 
 
 def is_header(line: Column) -> Column:
