@@ -8,6 +8,7 @@ codegen stage without Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -69,29 +70,43 @@ def _strip_marks(text: Column) -> Column:
     return trim(F.regexp_replace(trim(text), "[-:]+$", ""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value evaluated once: expressions share nothing, and nested copies multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_line(line: Column, options: ParserOptions = ParserOptions()) -> Column:
     """STRUCT<product_text, quantity, has_quantity, unit, has_unit, language, ocr_confidence>.
 
     NULL for a NULL or blank line. Quantity and unit are NULL unless the line
     states them; product_text may be empty.
     """
-    strict = options.strict_parity
+    raw = trim(F.regexp_replace(line, f"^{BOM}", ""))
+    return F.when(raw.isNotNull() & (raw != ""), _let(raw, lambda x: _parsed(x, options.strict_parity)))
+
+
+def _parsed(raw: Column, strict: bool) -> Column:
     unit, five = _unit_pattern(), FIVE_LETTER if strict else f"{FIVE_LETTER}(?={_SPACE}|$)"
     num = f"(?:{five}|[0-9]+(?:[.,][0-9]*)?)"
 
-    raw = trim(F.regexp_replace(line, f"^{BOM}", ""))
     suffix = f"(?:{_alternation(SUFFIXES)})$" if strict else f"(?<={_SPACE})(?:{_alternation(SUFFIXES)})$"
     text = trim(F.regexp_replace(normalize_digits(raw), suffix, ""))
 
     # Rule 1: the line starts with a number, perhaps followed by a unit.
     lead = f"(?s)^({num})(?:{_SPACE}*({unit}){_BOUNDARY})?[ \\t\\n\\x0B\\f\\r\\-:,]*(.*)$"
-    lead_qty = _number(_group(text, lead, 1))
-    has_lead = lead_qty.isNotNull()
-    lead_unit = F.when(has_lead, unit_of(_group(text, lead, 2)))
-    rest = F.when(has_lead, _group(text, lead, 3)).otherwise(text)
-    rest = _strip_marks(rest)
     post = f"^(?:{_alternation(POSTPOSITIONS)}){_SPACE}+"
-    rest = F.when(has_lead, trim(F.regexp_replace(rest, post, ""))).otherwise(rest)
+
+    def lead_of(text: Column) -> Column:
+        return _let(F.struct(text.alias("text"), _number(_group(text, lead, 1)).alias("qty")), rest_of)
+
+    def rest_of(x: Column) -> Column:
+        has_lead = x["qty"].isNotNull()
+        rest = _strip_marks(F.when(has_lead, _group(x["text"], lead, 3)).otherwise(x["text"]))
+        return F.struct(
+            F.when(has_lead, trim(F.regexp_replace(rest, post, ""))).otherwise(rest).alias("rest"),
+            x["qty"].alias("qty"),
+            F.when(has_lead, unit_of(_group(x["text"], lead, 2))).alias("unit"),
+        )
 
     # Rules 2 to 6 look at what rule 1 left.
     multi = f"(?s)^(.*){'' if strict else _SPACE}[xX]{_SPACE}*({num})$"
@@ -103,47 +118,52 @@ def parse_line(line: Column, options: ParserOptions = ParserOptions()) -> Column
         f"{_SPACE}*(?:({unit}){_BOUNDARY})?{_SPACE}*(.*)$"
     )
 
-    def found(pattern: str) -> Column:
-        return _number(_group(rest, pattern, 2))
-
-    by_multi, by_glued, by_apart, by_bare, by_inner = map(found, (multi, glued, apart, bare, inner))
-    is_multi = by_multi.isNotNull()
-    is_glued = ~is_multi & by_glued.isNotNull()
-    is_apart = ~is_multi & ~is_glued & by_apart.isNotNull()
-    open_ = ~is_multi & ~is_glued & ~is_apart & ~has_lead
-    is_bare = open_ & by_bare.isNotNull()
-    is_inner = open_ & ~is_bare & by_inner.isNotNull()
-
-    quantity = (
-        F.when(is_multi, by_multi)
-        .when(is_glued, by_glued)
-        .when(is_apart, by_apart)
-        .when(is_bare, by_bare)
-        .when(is_inner, by_inner)
-        .otherwise(lead_qty)
-    )
-    named = (
-        F.when(is_multi, F.lit("piece"))
-        .when(is_glued, unit_of(_group(rest, glued, 3)))
-        .when(is_apart, unit_of(_group(rest, apart, 3)))
-        .when(is_inner, F.coalesce(unit_of(_group(rest, inner, 3)), lead_unit))
-        .otherwise(lead_unit)
-    )
-    product = (
-        F.when(is_multi, trim(_group(rest, multi, 1)))
-        .when(is_glued, trim(_group(rest, glued, 1)))
-        .when(is_apart, _strip_marks(_group(rest, apart, 1)))
-        .when(is_bare, _strip_marks(_group(rest, bare, 1)))
-        .when(is_inner, trim(F.concat_ws(" ", _group(rest, inner, 1), _group(rest, inner, 4))))
-        .otherwise(rest)
-    )
-    item = F.struct(
-        product.alias("product_text"),
-        quantity.alias("quantity"),
-        quantity.isNotNull().alias("has_quantity"),
-        named.alias("unit"),
-        named.isNotNull().alias("has_unit"),
-        detect_language(raw).alias("language"),
-        F.lit(None).cast("double").alias("ocr_confidence"),
-    )
-    return F.when(raw.isNotNull() & (raw != ""), item)
+    def item_of(x: Column) -> Column:
+        rest, lead_qty, lead_unit, has_lead = x["rest"], x["lead_qty"], x["lead_unit"], x["lead_qty"].isNotNull()
+        by_multi, by_glued, by_apart, by_bare, by_inner = (x[k] for k in ("multi", "glued", "apart", "bare", "inner"))
+        is_multi = by_multi.isNotNull()
+        is_glued = ~is_multi & by_glued.isNotNull()
+        is_apart = ~is_multi & ~is_glued & by_apart.isNotNull()
+        open_ = ~is_multi & ~is_glued & ~is_apart & ~has_lead
+        is_bare = open_ & by_bare.isNotNull()
+        is_inner = open_ & ~is_bare & by_inner.isNotNull()
+
+        quantity = (
+            F.when(is_multi, by_multi)
+            .when(is_glued, by_glued)
+            .when(is_apart, by_apart)
+            .when(is_bare, by_bare)
+            .when(is_inner, by_inner)
+            .otherwise(lead_qty)
+        )
+        named = (
+            F.when(is_multi, F.lit("piece"))
+            .when(is_glued, unit_of(_group(rest, glued, 3)))
+            .when(is_apart, unit_of(_group(rest, apart, 3)))
+            .when(is_inner, F.coalesce(unit_of(_group(rest, inner, 3)), lead_unit))
+            .otherwise(lead_unit)
+        )
+        product = (
+            F.when(is_multi, trim(_group(rest, multi, 1)))
+            .when(is_glued, trim(_group(rest, glued, 1)))
+            .when(is_apart, _strip_marks(_group(rest, apart, 1)))
+            .when(is_bare, _strip_marks(_group(rest, bare, 1)))
+            .when(is_inner, trim(F.concat_ws(" ", _group(rest, inner, 1), _group(rest, inner, 4))))
+            .otherwise(rest)
+        )
+        return F.struct(
+            product.alias("product_text"),
+            quantity.alias("quantity"),
+            quantity.isNotNull().alias("has_quantity"),
+            named.alias("unit"),
+            named.isNotNull().alias("has_unit"),
+            detect_language(raw).alias("language"),
+            F.lit(None).cast("double").alias("ocr_confidence"),
+        )
+
+    def rules_of(x: Column) -> Column:
+        patterns = {"multi": multi, "glued": glued, "apart": apart, "bare": bare, "inner": inner}
+        numbers = [_number(_group(x["rest"], p, 2)).alias(k) for k, p in patterns.items()]
+        return _let(F.struct(x["rest"].alias("rest"), x["qty"].alias("lead_qty"), x["unit"].alias("lead_unit"), *numbers), item_of)
+
+    return _let(_let(text, lead_of), rules_of)

@@ -103,17 +103,19 @@ def read_catalog_csv(spark: SparkSession, path: str, max_products: int | None =
     return products
 
 
+def _terms(name: str, kind: str) -> Column:
+    # A lambda's default argument would count as one of its variables, so kind is bound here.
+    return F.transform(
+        F.col(name), lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("ord"), x.alias("term"))
+    )
+
+
 def terms_of(products: DataFrame) -> DataFrame:
     """One row per name, alias, OCR variant and brand: catalog_pos, kind, ord, term."""
     rows = F.concat(
         F.array(F.struct(F.lit("canonical").alias("kind"), F.lit(0).alias("ord"), F.col("canonical_name").alias("term"))),
-        *[
-            F.transform(
-                F.col(name),
-                lambda x, i, kind=kind: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("ord"), x.alias("term")),
-            )
-            for name, kind in (("aliases", "alias"), ("ocr_errors", "ocr_error"))
-        ],
+        _terms("aliases", "alias"),
+        _terms("ocr_errors", "ocr_error"),
         F.filter(
             F.array(F.struct(F.lit("brand").alias("kind"), F.lit(0).alias("ord"), F.col("brand").alias("term"))),
             lambda x: F.coalesce(x["term"], F.lit("")) != "",
