@@ -106,12 +106,12 @@ def read_catalog_csv(spark: SparkSession, path: str, max_products: int | None =
 def _terms(name: str, kind: str) -> Column:
     # A lambda's default argument would count as one of its variables, so kind is bound here.
     return F.transform(
-        F.col(name), lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("ord"), x.alias("term"))
+        F.coalesce(F.col(name), F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("ord"), x.alias("term"))
     )
 
 
 def terms_of(products: DataFrame) -> DataFrame:
-    """One row per name, alias, OCR variant and brand: catalog_pos, kind, ord, term."""
+    """One row per name, alias, OCR variant and brand: catalog_pos, kind, ord, term. NULL lists count as empty."""
     rows = F.concat(
         F.array(F.struct(F.lit("canonical").alias("kind"), F.lit(0).alias("ord"), F.col("canonical_name").alias("term"))),
         _terms("aliases", "alias"),

@@ -46,3 +46,9 @@ def test_document_end_to_end(spark, products):
         "RICE001", 2.0, "kg", 1.0, "confirmed",
     )
     assert (other["product_id"], other["status"], other["candidates"]) == (None, "unidentified", [])
+
+
+def test_null_lists_keep_the_name(spark):
+    bare = spark.createDataFrame([(1, "T1", "Tea", None, None, None, None, None), (2, "S1", "Salt", None, None, ["mithu"], None, None)], SCHEMA)
+    assert best(spark, bare, "tea")[0][2] == "T1"
+    assert best(spark, bare, "mithu")[0][2] == "S1"
