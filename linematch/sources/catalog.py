@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linematch.functions.csv_index import structural_fields
 from linematch.functions.text import trim
 
 #: Fixed values of the format.
@@ -31,7 +32,7 @@ class CatalogError(RuntimeError):
 
 def split_csv(line: Column) -> Column:
     """Columns of a line: commas outside quotes separate; at most MAX_COLUMNS. NULL stays NULL."""
-    return F.slice(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), 1, MAX_COLUMNS)
+    return F.slice(structural_fields(line), 1, MAX_COLUMNS)
 
 
 def unquote(field: Column) -> Column:
