@@ -26,8 +26,39 @@ _PAIR = {
 }
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _text(node) -> str:
+    """SQL of a column's node; operators are called by their quoted function names."""
+    kind = node.getClass().getSimpleName()
+    if kind in ("Literal", "UnresolvedAttribute", "UnresolvedNamedLambdaVariable"):
+        return node.sql()
+    if kind == "UnresolvedFunction":
+        name = node.functionName()
+        name = name if name == "struct" else f"`{name}`"  # only the keyword takes named arguments
+        return f"{name}({', '.join(map(_text, _items(node.arguments())))})"
+    if kind == "CaseWhenOtherwise":
+        cases = "".join(f" WHEN {_text(b._1())} THEN {_text(b._2())}" for b in _items(node.branches()))
+        last = node.otherwise()
+        return f"CASE{cases}{f' ELSE {_text(last.get())}' if last.isDefined() else ''} END"
+    if kind == "Cast":
+        mode = node.evalMode()
+        tried = mode.isDefined() and "Try" in mode.get().getClass().getSimpleName()
+        return f"{'TRY_CAST' if tried else 'CAST'}({_text(node.child())} AS {node.dataType().sql()})"
+    if kind == "Alias":
+        return f"{_text(node.child())} AS `{node.name().head()}`"
+    if kind == "LambdaFunction":
+        names = [_text(x) for x in _items(node.arguments())]
+        return f"{names[0] if len(names) == 1 else f'({", ".join(names)})'} -> {_text(node.function())}"
+    if kind == "UnresolvedExtractValue":
+        return f"{_text(node.child())}[{_text(node.extraction())}]"
+    raise TypeError(f"no SQL for {kind}")
+
+
 def _sql(spark: SparkSession, column: Column) -> str:
-    return column._jc.expr().sql()
+    return _text(column._jc.node())
 
 
 def register(spark: SparkSession) -> list[str]:
