@@ -58,4 +58,43 @@ def test_packed_values(spark):
 
 
 def test_registered():
-    assert {"p3_found", "p5_found"} <= set(entry.queries())
+    assert {"p3_found", "p4_found", "p5_found"} <= set(entry.queries())
+
+
+def test_amounts(spark):
+    from linematch.functions.amounts import amounts_to_convert
+
+    texts = {
+        "rice 4 Kilogram 250 g": ("g", 4250),
+        "rice 50 kgs x 10": ("g", 500000),
+        "rice : 10 x 0.5 kg": ("g", 5000),
+        "1½ Dozen: rice": ("piece", 18),
+        "rice - 2 1/2 Kg": ("g", 2500),
+        "keri.. aadha kilo": ("g", 500),
+        "rice one and a half kg": ("g", 1500),
+        "તલ - અઢી કિલો": ("g", 2500),
+        "सवा लीटर": ("ml", 1250),
+        "8) Okra 0,25kgms loose": ("g", 250),
+        "rice ２５０ ｇｒａｍｍｅ": ("g", 250),
+        "d\u200dedh kilo": ("g", 1500),
+        "ha1meru 5yrup, 3 pav": ("g", 750),
+        "soap 2 pairs": ("piece", 4),
+        "soap 7 box": None,
+        "soap 50 rs": None,
+        "8) soap": None,
+    }
+    rows = [(n, t, 7.0, None, "none") for n, t in enumerate(texts)]
+    rows += [(100, "rice 5", 5.0, None, "bulk"), (101, "rice 5 g", 5.0, "g", "bulk"), (102, "rice 5 box", 5.0, None, "bulk")]
+    items = spark.createDataFrame(rows, "item_id long, raw_text string, quantity double, unit string, source_code string")
+    entries = spark.createDataFrame(
+        [(1, None, None, "1,25 Kilogram|box|250 g|½ kg|kg"), (2, None, None, "५ लीटर")],
+        "entry_id long, aliases string, ocr_errors string, units string",
+    )
+    sources = spark.createDataFrame([("none", None), ("bulk", "kg")], "source_code string, default_unit string")
+    factors = {"g": ("g", 1.0), "kg": ("g", 1000.0), "pav": ("g", 250.0), "ml": ("ml", 1.0), "liter": ("ml", 1000.0)}
+    factors |= {"piece": ("piece", 1.0), "pair": ("piece", 2.0), "dozen": ("piece", 12.0), "box": (None, None), "rupee": (None, None)}
+    units = spark.createDataFrame([(k, *v) for k, v in factors.items()], "unit string, base_unit string, factor double")
+    got = {(r.src_table, r.rec_id, r.pos): (r.base_unit, r.base_amount) for r in amounts_to_convert(items, entries, sources, units).collect()}
+    want = {("list_items", n, 0): v for n, v in enumerate(texts.values()) if v} | {("list_items", 100, 0): ("g", 5000)}
+    want |= {("vendor_catalog", 1, 1): ("g", 1250), ("vendor_catalog", 1, 4): ("g", 500), ("vendor_catalog", 2, 1): ("ml", 5000)}
+    assert got == want
