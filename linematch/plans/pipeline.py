@@ -88,19 +88,20 @@ def process_documents(docs: DataFrame, products: DataFrame, text: str = "text",
     """One row per document: key, success, language, error, items (nested, in line order).
 
     Blank or NULL text gives success false with the error; a document whose
-    lines hold no product gives success true and no items. Repeated keys are
-    one document each only if keys are unique.
+    lines hold no product gives success true and no items. Items depend on the
+    text alone, so a digest of it is the row id: keys may be NULL or repeated,
+    and equal texts are matched once.
     """
-    lines = split_lines(docs, text, (key,))
+    docs = docs.select(key, text).withColumn("_doc", F.sha2(F.col(text), 256))
+    lines = split_lines(docs.dropDuplicates(["_doc"]), text, ("_doc",))
     matched = match_parsed(parse_items(lines), products, **options)
-    gathered = matched.groupBy(key).agg(
+    gathered = matched.groupBy("_doc").agg(
         F.array_sort(F.collect_list(F.struct("line_no", item_struct().alias("item")))).alias("_items")
     )
     ok = has_content(F.col(text))
     empty = F.array().cast(gathered.schema["_items"].dataType)
     return (
-        docs.select(key, text)
-        .join(gathered, key, "left")
+        docs.join(gathered, "_doc", "left")
         .select(
             key,
             ok.alias("success"),

@@ -52,3 +52,16 @@ def test_null_lists_keep_the_name(spark):
     bare = spark.createDataFrame([(1, "T1", "Tea", None, None, None, None, None), (2, "S1", "Salt", None, None, ["mithu"], None, None)], SCHEMA)
     assert best(spark, bare, "tea")[0][2] == "T1"
     assert best(spark, bare, "mithu")[0][2] == "S1"
+
+
+def test_null_and_repeated_keys(spark, products):
+    from linematch.plans.pipeline import process_documents
+
+    texts = [(None, "Rice 2 kg"), (None, "Soap x 4\nRice"), (7, "Rice"), (7, "Soap\nSoap"), (7, "Rice"), (8, None), (None, " ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = process_documents(docs, products).collect()
+    got = sorted((str(r.doc_id), r.success, [i.product_id for i in r["items"]]) for r in rows)
+    assert got == [
+        ("7", True, ["RICE001"]), ("7", True, ["RICE001"]), ("7", True, ["SOAP001", "SOAP001"]),
+        ("8", False, []), ("None", False, []), ("None", True, ["RICE001"]), ("None", True, ["SOAP001", "RICE001"]),
+    ]
