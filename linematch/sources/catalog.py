@@ -19,6 +19,13 @@ SHORT_COLUMNS = 4
 MAX_ALIASES = 32
 MAX_ERRORS = 32
 MAX_UNITS = 16
+#: For parity checks only.
+PARITY_CAPS = {
+    "max_columns": MAX_COLUMNS,
+    "max_aliases": MAX_ALIASES,
+    "max_errors": MAX_ERRORS,
+    "max_units": MAX_UNITS,
+}
 LIST_MARKS = "[|;\r\n]"
 
 
@@ -30,9 +37,10 @@ class CatalogError(RuntimeError):
         self.code = code
 
 
-def split_csv(line: Column) -> Column:
-    """Columns of a line: commas outside quotes separate; at most MAX_COLUMNS. NULL stays NULL."""
-    return F.slice(structural_fields(line), 1, MAX_COLUMNS)
+def split_csv(line: Column, limit: int | None = MAX_COLUMNS) -> Column:
+    """Columns of a line: commas outside quotes separate; at most limit, None for all. NULL stays NULL."""
+    fields = structural_fields(line)
+    return fields if limit is None else F.slice(fields, 1, limit)
 
 
 def unquote(field: Column) -> Column:
@@ -54,13 +62,22 @@ def is_header(line: Column) -> Column:
     return line.contains("product_id") | line.contains("sku")
 
 
-def products_from_lines(lines: DataFrame, line: str = "line", position: str = "line_no") -> DataFrame:
+def products_from_lines(
+    lines: DataFrame,
+    line: str = "line",
+    position: str = "line_no",
+    max_columns: int | None = None,
+    max_aliases: int | None = None,
+    max_errors: int | None = None,
+    max_units: int | None = None,
+) -> DataFrame:
     """Physical lines (line, position) to products.
 
     The line at the lowest position is a header if it names columns; comments,
     blank lines and lines of fewer than four columns are left out. NULL lines
     are left out. Result: catalog_pos, sku, canonical_name, brand, category,
-    aliases, ocr_errors, units. Extra columns of the input are dropped.
+    aliases, ocr_errors, units. Extra columns of the input are dropped. The
+    caps are off by default; PARITY_CAPS are those of the reference.
     """
     first = lines.agg(F.min(position).alias("_first"))
     rows = (
@@ -68,7 +85,7 @@ def products_from_lines(lines: DataFrame, line: str = "line", position: str = "l
         .join(F.broadcast(first), F.lit(True), "left")
         .filter(F.col("_line").isNotNull() & ~F.col("_line").rlike("^(#|\r|\n|$)"))
         .filter(~((F.col("catalog_pos") == F.col("_first")) & is_header(F.col("_line"))))
-        .withColumn("_f", F.transform(split_csv(F.col("_line")), unquote))
+        .withColumn("_f", F.transform(split_csv(F.col("_line"), max_columns), unquote))
         .filter(F.size("_f") >= SHORT_COLUMNS)
     )
     full = F.size("_f") >= FULL_COLUMNS
@@ -83,22 +100,22 @@ def products_from_lines(lines: DataFrame, line: str = "line", position: str = "l
         at(1).alias("canonical_name"),
         F.when(full, at(2)).otherwise("").alias("brand"),
         F.when(full, at(3)).otherwise(at(2)).alias("category"),
-        F.when(full, list_field([at(4), at(5), at(6)], MAX_ALIASES))
-        .otherwise(list_field([at(3)], MAX_ALIASES))
+        F.when(full, list_field([at(4), at(5), at(6)], max_aliases))
+        .otherwise(list_field([at(3)], max_aliases))
         .alias("aliases"),
-        F.when(full, list_field([at(7)], MAX_ERRORS)).otherwise(nothing).alias("ocr_errors"),
-        F.when(full, list_field([at(8), at(9)], MAX_UNITS, trimmed=False)).otherwise(nothing).alias("units"),
+        F.when(full, list_field([at(7)], max_errors)).otherwise(nothing).alias("ocr_errors"),
+        F.when(full, list_field([at(8), at(9)], max_units, trimmed=False)).otherwise(nothing).alias("units"),
     )
 
 
-def read_catalog_csv(spark: SparkSession, path: str, max_products: int | None = None) -> DataFrame:
-    """Products of one CSV file; max_products keeps the first so many (off by default)."""
+def read_catalog_csv(spark: SparkSession, path: str, max_products: int | None = None, **caps: int | None) -> DataFrame:
+    """Products of one CSV file; max_products keeps the first so many, caps go to products_from_lines (all off by default)."""
     try:
         whole = spark.read.text(path, wholetext=True)
     except Exception as e:
         raise CatalogError("CATALOG_LOAD_FAILED", str(e)[:200]) from e
     lines = whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    products = products_from_lines(lines)
+    products = products_from_lines(lines, **caps)
     if max_products is not None:
         products = products.orderBy("catalog_pos").limit(max_products)
     return products

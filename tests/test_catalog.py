@@ -25,3 +25,14 @@ def test_stray_quote_is_loaded(spark):
     lines = spark.createDataFrame([(0, "sku,canonical_name,category,aliases"), (1, 'AB123,name,cat,al"ias')], "line_no int, line string")
     (row,) = products_from_lines(lines).collect()
     assert (row.sku, row.canonical_name, row.category, row.aliases) == ("AB123", "name", "cat", ['al"ias'])
+
+
+def test_caps_are_off_by_default(spark):
+    from linematch.sources.catalog import PARITY_CAPS
+
+    many = "|".join(f"a{i}" for i in range(40))
+    lines = spark.createDataFrame([(1, f"S1,n,b,c,{many},,,{many},{many},{many},,,x")], "line_no int, line string")
+    (row,) = products_from_lines(lines).collect()
+    assert (len(row.aliases), len(row.ocr_errors), len(row.units)) == (40, 40, 80)
+    (row,) = products_from_lines(lines, **PARITY_CAPS).collect()
+    assert (len(row.aliases), len(row.ocr_errors), len(row.units)) == (32, 32, 16)
