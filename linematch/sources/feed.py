@@ -5,22 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linematch.functions.csv_index import is_broken, plain, structural_fields
-from linematch.functions.text import has_content, trim
+from linematch.functions.csv_index import checked_fields
+from linematch.functions.text import has_content
 from linematch.sources.catalog import FULL_COLUMNS, list_field
 
-#: Names that stand for "no value", in lower case; those without a letter need no mention.
-NO_VALUE = (
-    "null none nil nan na n/a n.a. n.a #n/a #null! #name? #value! #ref! #div/0! unknown undefined tbd tba tbc missing "
-    "void empty blank"
-).split() + ["no name", "no value", "not available", "not applicable", "not known", "to be decided", "(null)", "<null>"]
-SKU = "^[A-Z]{2,6}[0-9]{3,5}$"
-
-
-def _name_is_bad(name: Column) -> Column:
-    return ~name.rlike("\\p{L}") | F.lower(name).isin(NO_VALUE) | name.rlike("[\\p{Cc}�]")
-
-
 def classified_lines(lines: DataFrame) -> DataFrame:
     """Every line after line 1, neither blank nor a comment: feed_id, line_no, fields, columns, reason.
 
@@ -28,20 +16,22 @@ def classified_lines(lines: DataFrame) -> DataFrame:
     applies, NULL for a line that can be loaded. The lines of a feed without
     line 1 are held against the full layout.
     """
-    headers = lines.filter("line_no = 1").select("feed_id", F.size(structural_fields(trim(F.col("line")))).alias("columns"))
+    indexed = lines.filter(((F.col("line_no") == 1) | has_content(F.col("line"))) & F.col("line").isNotNull()).select(
+        "feed_id", "line_no", F.col("line").startswith("#").alias("remark"), checked_fields(F.col("line")).alias("i")
+    )
+    headers = indexed.filter("line_no = 1").select("feed_id", F.size("i.fields").alias("columns"))
     body = (
-        lines.filter((F.col("line_no") > 1) & has_content(F.col("line")) & ~F.col("line").startswith("#"))
-        .withColumn("fields", F.transform(structural_fields(F.col("line")), trim))
+        indexed.filter((F.col("line_no") > 1) & ~F.col("remark"))
         .join(headers, "feed_id", "left")
         .withColumn("columns", F.coalesce("columns", F.lit(FULL_COLUMNS)))
     )
     reason = (
-        F.when(F.exists("fields", is_broken), "broken_quote")
-        .when(F.size("fields") != F.col("columns"), "column_count")
-        .when(~plain(F.get("fields", F.lit(0))).rlike(SKU), "bad_sku")
-        .when(_name_is_bad(plain(F.get("fields", F.lit(1)))), "bad_name")
+        F.when(F.col("i.broken"), "broken_quote")
+        .when(F.size("i.fields") != F.col("columns"), "column_count")
+        .when(~F.col("i.sku_fits"), "bad_sku")
+        .when(~F.col("i.name_fits"), "bad_name")
     )
-    return body.select("feed_id", "line_no", F.transform("fields", plain).alias("fields"), "columns", reason.alias("reason"))
+    return body.select("feed_id", "line_no", "i.fields", "columns", reason.alias("reason"))
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
