@@ -1,33 +1,53 @@
-"""Several values in one string, cut by an automaton.
+"""Several values in one string, segmented with a dictionary of known values.
 
-Each value is read by one pass over its characters: a quoted value up to its
-closing quote, another one up to the next mark that stands outside a number.
-Both parts are compiled patterns without nested repeats over groups that could
-go back, so a field costs time in proportion to its length.
+Marks outside quotes and numbers cut a field into atoms. A multi-pattern
+automaton finds every known whole value in one pass over the field; dynamic
+programming over the atoms then picks the cover of least cost, in which a known
+value is cheaper than the atoms it spans, so that marks inside it do not
+separate. Patterns have no nested repeats over groups that could go back, so a
+field costs time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 #: Marks that separate; a comma or slash between two digits belongs to a number.
-MARKS = ",|;/¦•；，、\t\n\r\x0b\x0c\x85  "
+MARKS = ",|;/¦•；，、\t\n\r\x0b\x0c\x85\u2028\u2029"
+#: Known values that a broadcast dictionary may hold.
+DICTIONARY_VALUES = 500_000
+#: Cost of an atom, of a known value, and of nothing between two marks.
+_ATOM, _KNOWN = 2, 1
+
 _FREE = "".join(c for c in MARKS if c not in ",/")
 _END = re.compile(rf"[{re.escape(_FREE)}]|(?<!\d)[,/]|[,/](?!\d)")
 _QUOTED = re.compile(r'"([^"]*(?:""[^"]*)*)"(?!")')
 _AROUND = {"[": "]", "{": "}"}
 
 
-def values_of(field: str | None) -> list[str]:
-    """The non-empty values of a field in order, trimmed, quotes taken off."""
-    text = (field or "").strip()
-    if len(text) >= 2 and _AROUND.get(text[0]) == text[-1]:
-        text = text[1:-1]
+def automaton(values: list[str]):
+    """An automaton over values in lower case, or None for no value."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for value in values:
+        value = value.strip().lower()
+        if value:
+            machine.add_word(value, len(value))
+    if not len(machine):
+        return None
+    machine.make_automaton()
+    return machine
+
+
+def _atoms(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value) of every non-empty piece between marks; a quoted piece is one atom without its quotes."""
     found, at, n = [], 0, len(text)
     while at < n:
         while at < n and (text[at].isspace() or text[at] in MARKS):
@@ -41,33 +61,100 @@ def values_of(field: str | None) -> list[str]:
                 after += 1
             if after == n or text[after] in MARKS:
                 value = quoted[1].replace('""', '"').strip()
-                found += [value] * bool(value)
+                if value:
+                    found.append((at, quoted.end(), value))
                 at = after + 1
                 continue
         end = _END.search(text, at)
         stop = end.start() if end else n
-        found.append(text[at:stop].strip())
+        value = text[at:stop].strip()
+        found.append((at, at + len(value), value))
         at = stop + 1
     return found
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _values(fields: pd.Series) -> pd.Series:
-    return fields.map(values_of)
+def _cover(text: str, atoms: list[tuple[int, int, str]], known) -> list[str]:
+    """The values of the cheapest cover of the atoms; of equal ones that with the longer last value."""
+    first = {start: i for i, (start, _, _) in enumerate(atoms)}
+    last = {end: i for i, (_, end, _) in enumerate(atoms)}
+    ends_here: dict[int, list[int]] = {}
+    low = text.lower()
+    if len(low) == len(text):  # else places would differ
+        for at, size in known.iter(low):
+            i, j = first.get(at + 1 - size), last.get(at + 1)
+            if i is not None and j is not None:
+                ends_here.setdefault(j, []).append(i)
+    best: list[tuple[int, int]] = [(0, 0)]
+    for j in range(len(atoms)):
+        option = (best[j][0] + _ATOM, j)
+        for i in ends_here.get(j, ()):
+            option = min(option, (best[i][0] + _KNOWN, i))
+        best.append(option)
+    values, j = [], len(atoms)
+    while j:
+        i = best[j][1]
+        values.append(atoms[i][2] if j - i == 1 else text[atoms[i][0] : atoms[j - 1][1]])
+        j = i
+    return values[::-1]
+
+
+def values_of(field: str | None, known=None) -> list[str]:
+    """The non-empty values of a field in order, trimmed, quotes taken off; known is an automaton of whole values."""
+    text = (field or "").strip()
+    if len(text) >= 2 and _AROUND.get(text[0]) == text[-1]:
+        text = text[1:-1]
+    atoms = _atoms(text)
+    return _cover(text, atoms, known) if known is not None and atoms else [value for _, _, value in atoms]
+
+
+def known_values(products: DataFrame) -> DataFrame:
+    """value: every name, alias, OCR variant and unit of a catalog, once."""
+    names = ("aliases_en", "aliases_gu", "aliases_hi", "ocr_errors", "units", "pack_sizes")
+    lists = [F.split(F.coalesce(F.col(c), F.lit("")), r"\|") for c in names]
+    every = F.concat(F.array(F.coalesce("canonical_name", F.lit(""))), *lists)
+    return products.select(F.explode(every).alias("value")).select(F.lower(F.trim("value")).alias("value")).filter("value <> ''").distinct()
+
+
+def _segmenter(products: DataFrame | None) -> Callable[[Column], Column]:
+    words: list[str] = []
+    if products is not None:
+        known = known_values(products)
+        if known.count() > DICTIONARY_VALUES:
+            # A value without a mark is one atom, which any cover holds anyhow.
+            known = known.filter(F.col("value").rlike(f"[{re.escape(MARKS)}]"))
+            if known.count() > DICTIONARY_VALUES:
+                raise ValueError(f"more than {DICTIONARY_VALUES} known values with marks inside")
+        words = [r.value for r in known.collect()]
+    held: list = []
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def segments(fields: pd.Series) -> pd.Series:
+        if not held:
+            held.append(automaton(words))
+        return fields.map(lambda f: values_of(f, held[0]))
+
+    return segments
+
 
+def field_values(
+    entries: DataFrame, names: tuple[str, ...] = ("aliases", "ocr_errors", "units"), products: DataFrame | None = None
+) -> DataFrame:
+    """One row per value of each field: entry_id, field_name, pos (from 1), item_value, n_values.
 
-def field_values(entries: DataFrame, names: tuple[str, ...] = ("aliases", "ocr_errors", "units")) -> DataFrame:
-    """One row per value of each field: entry_id, field_name, pos (from 1), item_value, n_values. NULL gives no row."""
+    NULL and empty fields give no row, repeated rows and equal values stay,
+    further columns are dropped. products is the catalog whose values are known.
+    """
+    segments = _segmenter(products)
     each = entries.select(
         "entry_id",
         F.inline(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("_field")) for n in names])),
     )
-    held = each.filter("_field IS NOT NULL").select("entry_id", "field_name", _values(F.col("_field")).alias("_values"))
+    held = each.filter("_field IS NOT NULL").select("entry_id", "field_name", segments(F.col("_field")).alias("_values"))
     return held.select(
         "entry_id", "field_name", F.size("_values").alias("n_values"), F.posexplode("_values").alias("pos", "item_value")
     ).select("entry_id", "field_name", (F.col("pos") + 1).alias("pos"), "item_value", "n_values")
 
 
-def packed_values(entries: DataFrame) -> DataFrame:
+def packed_values(entries: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """The values of fields that hold two or more."""
-    return field_values(entries).filter("n_values >= 2").drop("n_values")
+    return field_values(entries, products=products).filter("n_values >= 2").drop("n_values")

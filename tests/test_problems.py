@@ -49,6 +49,17 @@ def test_values_of():
     assert values_of('"open;b') == ['"open', "b"]
 
 
+def test_known_values_protect_their_marks():
+    from linematch.functions.segments import automaton
+
+    known = automaton(["salt, iodised", "salt", "a/b/c", "b", "ghee; pure"])
+    assert values_of("Salt, Iodised, salt|x", known) == ["Salt, Iodised", "salt", "x"]
+    assert values_of("a/b/c/b; ghee; pure", known) == ["a/b/c", "b", "ghee; pure"]
+    assert values_of("xsalt, iodised;salt, iodisedx", known) == ["xsalt", "iodised", "salt", "iodisedx"]
+    assert values_of('"salt", iodised', known) == ["salt", "iodised"]
+    assert automaton(["", " "]) is None
+
+
 def test_packed_values(spark):
     from linematch.functions.segments import packed_values
 
