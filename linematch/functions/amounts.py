@@ -1,8 +1,9 @@
 """Amounts that a text states with units, in base units.
 
-A classifier of spellings (units.AMOUNT_UNITS) says what each unit is; factors
-come from unit_reference. Numbers may be decimal (point or comma), fractions,
-mixed, in native digits, or the words of NUMBERS; counts multiply by an x.
+What a text states is read by one compiled pattern; factors come from
+unit_reference. Numbers may be decimal (point or comma), fractions, mixed, in
+native digits, or the words of NUMBERS; counts multiply by an x. Where a text
+names no unit, the classifier of missing_units predicts one.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from linematch.functions.missing_units import CONFIDENT, UnitModel
 from linematch.functions.segments import field_values
 from linematch.functions.text import DEVANAGARI_DIGITS, GUJARATI_DIGITS
 from linematch.functions.units import AMOUNT_UNITS
+from linematch.plans.lineage import checkpointed
 
 NUMBERS = {
     "1/4": "quarter|a quarter|pa|પા",
@@ -36,6 +39,8 @@ NUMBERS = {
     "10": "ten|દસ|दस",
     "12": "twelve|બાર|बारह",
 }
+#: Catalog names that may be broadcast to find categories.
+CATEGORY_NAMES = 500_000
 _TO_ASCII = str.maketrans(GUJARATI_DIGITS + DEVANAGARI_DIGITS, "0123456789" * 2)
 _CYRILLIC = str.maketrans("аеорсхуіјѕкԁԛԝһӏьмтвнг", "aeopcxyijskdqwhlbmtbhr")
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -110,33 +115,104 @@ def _stated(units: DataFrame):
     return stated
 
 
-def item_amounts(items: DataFrame, sources: DataFrame, units: DataFrame) -> DataFrame:
-    """item_id, base_unit, base_amount of every item with a convertible amount, and quantity and unit as they were."""
-    stated = _stated(units)
-    asked = F.concat_ws(" ", F.col("quantity").cast("decimal(18,6)").cast("string"), F.coalesce("unit", "default_unit"))
-    text = F.when(F.col("s.named"), None).when(F.col("quantity") > 0, asked)
+def categories_of(items: DataFrame, products: DataFrame) -> DataFrame:
+    """items with category, that of the catalog entry whose name or alias product_text is, in any case; else NULL."""
+    lists = [F.split(F.coalesce(F.col(c), F.lit("")), r"\|") for c in ("aliases_en", "aliases_gu", "aliases_hi")]
+    names = products.select("category", F.explode(F.concat(F.array("canonical_name"), *lists)).alias("_name"))
+    names = names.select(F.lower(F.trim("_name")).alias("_name"), "category").filter("_name <> ''")
+    names = names.groupBy("_name").agg(F.min("category").alias("category"))
+    if names.count() <= CATEGORY_NAMES:
+        names = F.broadcast(names)
+    return items.drop("category").join(names, F.lower(F.trim("product_text")) == F.col("_name"), "left").drop("_name")
+
+
+def known_and_missing(items: DataFrame, sources: DataFrame, units: DataFrame, products: DataFrame | None) -> DataFrame:
+    """item_id, quantity, unit, source_code, lang, what raw_text states (s), own, default_unit, category and state of each item.
+
+    own is the unit that the column unit spells. state is stated where raw_text
+    names a unit or the row has one, missing where neither does and a quantity
+    is given, else nothing. The texts are read once: what is kept of them is
+    written to the checkpoint folder, as the model and the result both need it.
+    """
+    items = categories_of(items, products) if products is not None else items.withColumn("category", F.lit(None).cast("string"))
+    words = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    state = F.when(F.col("s.named") | F.col("unit").isNotNull(), "stated").when(F.col("quantity") > 0, "missing")
+    rows = (
+        items.withColumn("s", _stated(units)(F.col("raw_text")))
+        .join(F.broadcast(sources.select("source_code", "default_unit").dropDuplicates(["source_code"])), "source_code", "left")
+        .withColumn("own", F.try_element_at(words, F.lower("unit")))
+        .withColumn("state", state)
+    )
+    return checkpointed(rows.select("item_id", "quantity", "unit", "source_code", "lang", "s", "own", "default_unit", "category", "state"))
+
+
+def fitted_units(rows: DataFrame, units: DataFrame) -> UnitModel:
+    """A model of units, from rows that state one and rows whose source means one.
+
+    rows: known_and_missing(). A stated unit is the row's own, or else the base
+    unit of what raw_text states; a source's default is the unit of its rows
+    without one.
+    """
+    own = F.coalesce("own", "s.base_unit")
+    labelled = rows.select(
+        F.when(F.col("state") == "stated", own).when(F.col("state") == "missing", F.col("default_unit")).alias("label"),
+        "quantity", "source_code", "category", "lang", F.col("state").alias("stated"),
+    )
+    known = F.broadcast(units.select(F.col("unit").alias("label")))
+    return UnitModel(labelled.filter("quantity > 0").join(known, "label", "left_semi"))
+
+
+def assigned_units(rows: DataFrame, model: UnitModel) -> DataFrame:
+    """The rows of state missing, with guess, confidence and assigned.
+
+    assigned is the confident guess. The exact check follows: where the source
+    means a unit and the guess is another or not confident, the source's holds;
+    where it means none, nothing is assigned and the row is for review.
+    """
+    missing = rows.filter("state = 'missing'").withColumn("stated", F.col("state"))
+    confident = F.col("confidence") >= CONFIDENT
+    right = F.coalesce(confident & (F.col("guess") == F.col("default_unit")), F.lit(False))
+    return model.predict(missing).withColumn("assigned", F.when(right, F.col("guess")).otherwise(F.col("default_unit")))
+
+
+def item_amounts(items: DataFrame, sources: DataFrame, units: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """item_id, base_unit, base_amount of every item with a convertible amount, and quantity and unit as they were.
+
+    NULL and empty texts state nothing; repeated rows each give a row; further
+    columns are dropped.
+    """
+    columns = ["item_id", "raw_text", "quantity", "unit", "source_code"]
+    more = [F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ("product_text", "lang")]
+    rows = known_and_missing(items.select(*columns, *more), sources, units, products)
+    by_unit = F.broadcast(units.filter("base_unit IS NOT NULL AND factor IS NOT NULL").select(F.col("unit").alias("assigned"), "base_unit", "factor"))
+    wanted = ["item_id", "quantity", "unit", "assigned"]
+    guessed = assigned_units(rows, fitted_units(rows, units)).select(wanted)
+    # A unit beside a text that names none counts as it is.
+    owned = rows.filter("NOT s.named AND unit IS NOT NULL AND quantity > 0").withColumn("assigned", F.col("own")).select(wanted)
+    guessed = guessed.unionByName(owned).join(by_unit, "assigned")
+    amount = F.round(F.col("quantity").cast("decimal(38,9)") * F.col("factor").cast("decimal(38,9)")).cast("bigint")
     return (
-        items.join(F.broadcast(sources.select("source_code", "default_unit")), "source_code", "left")
-        .withColumn("s", stated(F.col("raw_text")))
-        .withColumn("d", stated(text))
-        .select(
-            "item_id",
-            F.coalesce("s.base_unit", "d.base_unit").alias("base_unit"),
-            F.coalesce("s.base_amount", "d.base_amount").alias("base_amount"),
-            "quantity",
-            "unit",
-        )
-        .filter("base_unit IS NOT NULL")
+        rows.filter("s.base_unit IS NOT NULL")
+        .select("item_id", "s.base_unit", "s.base_amount", "quantity", "unit")
+        .unionByName(guessed.select("item_id", "base_unit", amount.alias("base_amount"), "quantity", "unit").filter("base_amount > 0"))
     )
 
 
-def amounts_to_convert(items: DataFrame, entries: DataFrame, sources: DataFrame, units: DataFrame) -> DataFrame:
+def units_for_review(items: DataFrame, sources: DataFrame, units: DataFrame, products: DataFrame) -> DataFrame:
+    """item_id, guess, confidence of every quantity without a unit whose source means none."""
+    rows = known_and_missing(items, sources, units, products)
+    return assigned_units(rows, fitted_units(rows, units)).filter("assigned IS NULL").select("item_id", "guess", F.round("confidence", 4).alias("confidence"))
+
+
+def amounts_to_convert(
+    items: DataFrame, entries: DataFrame, sources: DataFrame, units: DataFrame, products: DataFrame | None = None
+) -> DataFrame:
     """src_table, rec_id, pos, base_unit, base_amount of every amount that is not yet in its base unit."""
     held = (F.col("unit") == F.col("base_unit")) & (F.col("quantity") == F.col("base_amount").cast("double"))
-    of_items = item_amounts(items, sources, units).filter(~F.coalesce(held, F.lit(False)))
+    of_items = item_amounts(items, sources, units, products).filter(~F.coalesce(held, F.lit(False)))
     stated = _stated(units)
     of_values = (
-        field_values(entries, ("units",))
+        field_values(entries, ("units",), products)
         .filter(~F.col("item_value").rlike("^[0-9]+ (g|ml|piece)$"))
         .withColumn("s", stated(F.col("item_value")))
         .filter("s.base_unit IS NOT NULL")
