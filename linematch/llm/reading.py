@@ -59,9 +59,12 @@ def _number(band: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, BANDS)), band).cast("int")
 
 
-def graded_vocabulary(docs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """word, rank, weight: by grade, then by frequency in all documents; words of no clear grade are left out."""
-    rated = docs.join(ratings, "doc_id")
+def graded_vocabulary(docs: DataFrame, rated: DataFrame, ratings: DataFrame) -> DataFrame:
+    """word, rank, weight: by grade, then by frequency in all documents; words of no clear grade are left out.
+
+    rated is the part of docs that has ratings.
+    """
+    rated = rated.join(ratings, "doc_id")
     usual = rated.groupBy("band").agg(F.percentile("sentence", F.lit(0.5), F.col("votes")).alias("usual"))
     used = rated.select("band", "votes", F.explode("words").alias("word")).groupBy("word", "band").agg(F.sum("votes").alias("uses"))
     totals = used.groupBy("band").agg(F.sum("uses").alias("total"))
@@ -117,10 +120,12 @@ def reading_bands(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     and text give one row; further columns are dropped. A text without any
     graded word is middle, as is every text where no rating can be read.
     """
+    ratings = checkpointed(cleaned_ratings(labels))
+    # The few rated documents are found before their words are taken apart, and kept.
+    rated = checkpointed(prepared(docs.join(ratings.select("doc_id").distinct(), "doc_id", "left_semi"), text))
     docs = prepared(docs, text)
-    ratings = cleaned_ratings(labels)
-    vocabulary = checkpointed(graded_vocabulary(docs, ratings))
-    cuts = calibrated_cuts(coverage_ranks(docs.join(ratings.select("doc_id").distinct(), "doc_id", "left_semi"), vocabulary), ratings)
+    vocabulary = checkpointed(graded_vocabulary(docs, rated, ratings))
+    cuts = checkpointed(calibrated_cuts(coverage_ranks(rated, vocabulary), ratings))
     covered = coverage_ranks(docs, vocabulary)
     coverage = F.col("coverage")
     band = F.when(coverage.isNull() | F.col("low").isNull(), BANDS[1]).when(coverage <= F.col("low"), BANDS[0])
