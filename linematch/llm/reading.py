@@ -87,17 +87,17 @@ def graded_vocabulary(docs: DataFrame, rated: DataFrame, ratings: DataFrame) ->
 
 
 def coverage_ranks(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """doc_id, text_key, coverage: the smallest rank that covers COVERED of the document's graded words."""
+    """doc_id, text_key, coverage: the smallest rank that covers COVERED of the document's graded words, NULL if it has none."""
     small = vocabulary.count() <= BROADCAST_WORDS
-    tokens = docs.select("doc_id", "text_key", F.explode("words").alias("word"))
-    found = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "word")
+    tokens = docs.select("doc_id", "text_key", F.explode_outer("words").alias("word"))
+    found = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "word", "left")
     weight = F.greatest(F.round(F.col("weight") * _SCALE).cast("bigint"), F.lit(1))
     return found.groupBy("doc_id", "text_key").agg(F.percentile("rank", F.lit(COVERED), weight).alias("coverage"))
 
 
 def calibrated_cuts(covered: DataFrame, ratings: DataFrame) -> DataFrame:
     """One row (low, high): the ranks after which a document is no longer basic, and advanced, with the most votes right."""
-    votes = covered.join(ratings, "doc_id").groupBy("coverage").pivot("band", list(BANDS)).agg(F.sum("votes")).fillna(0)
+    votes = covered.filter("coverage IS NOT NULL").join(ratings, "doc_id").groupBy("coverage").pivot("band", list(BANDS)).agg(F.sum("votes")).fillna(0)
     # One row for each distinct coverage rank of the rated documents: at most the size of the vocabulary.
     up = Window.orderBy("coverage").rowsBetween(Window.unboundedPreceding, 0)
     basic, middle, advanced = (F.sum(b).over(up) for b in BANDS)
@@ -126,14 +126,7 @@ def reading_bands(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     docs = prepared(docs, text)
     vocabulary = checkpointed(graded_vocabulary(docs, rated, ratings))
     cuts = checkpointed(calibrated_cuts(coverage_ranks(rated, vocabulary), ratings))
-    covered = coverage_ranks(docs, vocabulary)
     coverage = F.col("coverage")
     band = F.when(coverage.isNull() | F.col("low").isNull(), BANDS[1]).when(coverage <= F.col("low"), BANDS[0])
     band = band.when(coverage <= F.col("high"), BANDS[1]).otherwise(BANDS[2])
-    every = docs.select("doc_id", "text_key").distinct()
-    return (
-        every.join(covered, (every["doc_id"].eqNullSafe(covered["doc_id"])) & (every["text_key"] == covered["text_key"]), "left")
-        .select(every["doc_id"], "coverage")
-        .join(F.broadcast(cuts), F.lit(True), "left")
-        .select("doc_id", band.alias("band"))
-    )
+    return coverage_ranks(docs, vocabulary).join(F.broadcast(cuts), F.lit(True), "left").select("doc_id", band.alias("band"))
