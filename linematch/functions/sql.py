@@ -1,4 +1,4 @@
-"""The scalar functions as SQL functions that Catalyst inlines."""
+"""The scalar functions as SQL functions that Catalyst inlines; lm_parse_line is an Arrow function."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from linematch.functions import similarity, text
-from linematch.functions.parser import parse_line
+from linematch.functions.parser import PARSERS
 
 _STRING = {
     "lm_trim": (text.trim, "string"),
@@ -14,10 +14,6 @@ _STRING = {
     "lm_normalize_text": (text.normalize_text, "string"),
     "lm_detect_language": (text.detect_language, "string"),
     "lm_has_content": (text.has_content, "boolean"),
-    "lm_parse_line": (
-        parse_line,
-        "struct<product_text:string,quantity:double,has_quantity:boolean,unit:string,has_unit:boolean,language:string,ocr_confidence:double>",
-    ),
 }
 _PAIR = {
     "lm_char_similarity": similarity.char_similarity,
@@ -63,14 +59,14 @@ def _sql(spark: SparkSession, column: Column) -> str:
 
 def register(spark: SparkSession) -> list[str]:
     """Registers lm_* for SQL text; the names registered."""
-    arrow = lambda f: F.pandas_udf(f, "double")  # noqa: E731, F841
     names = []
     for name, (make, kind) in _STRING.items():
         names.append(_create(spark, name, {"a": "string"}, kind, make(F.col("a"))))
     for name, make in _PAIR.items():
         names.append(_create(spark, name, {"a": "string", "b": "string"}, "double", make(F.col("a"), F.col("b"))))
     names.append(_create(spark, "lm_confidence_band", {"a": "double"}, "string", similarity.confidence_band(F.col("a"))))
-    return names
+    spark.udf.register("lm_parse_line", PARSERS[True])
+    return [*names, "lm_parse_line"]
 
 
 def _create(spark: SparkSession, name: str, args: dict[str, str], kind: str, body: Column) -> str:

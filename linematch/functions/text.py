@@ -1,7 +1,8 @@
 """Text scalar functions as JVM-side column expressions.
 
 Every function maps NULL to the value stated in its docstring and never raises
-on malformed or very long input; all of them stay inside whole-stage codegen.
+on malformed or very long input. lines_of uses higher-order functions; the
+others stay inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ BLANKS = " \t\n\u000b\f\r"
 
 GUJARATI_DIGITS = "૦૧૨૩૪૫૬૭૮૯"
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
-BOM = "﻿"
+BOM = "\ufeff"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One run of these is one separator: every ASCII mark or control, and U+00A0.
