@@ -13,21 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Pairs whose distances are computed at once.
-_CHUNK = 1 << 17
-_WORD = 64
-
-
-def _slow(a: str, b: str) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
+from linematch.functions.edit_distance import Patterns
 
 @dataclass
 class BKTree:
@@ -36,41 +22,16 @@ class BKTree:
     keys: list[str]
 
     def __post_init__(self) -> None:
-        self.letters = {c: i + 1 for i, c in enumerate(sorted({c for k in self.keys for c in k}))}
-        self.codes, self.sizes = self.coded(self.keys)
-        self.masks = np.zeros((len(self.keys), len(self.letters) + 1), np.uint64)
-        for j in range(min(_WORD, self.codes.shape[1])):
-            here = np.flatnonzero(self.sizes > j)
-            self.masks[here, self.codes[here, j]] |= np.uint64(1) << np.uint64(j)
-        self.masks[:, 0] = 0
+        self.patterns = Patterns(self.keys)
         self._build()
 
-    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters of the tree as numbers, 0 for any other, and the lengths."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        codes = np.zeros((len(texts), max(1, int(sizes.max(initial=1)))), np.int16)
-        get = self.letters.get
-        for i, t in enumerate(texts):
-            codes[i, : len(t)] = [get(c, 0) for c in t]
-        return codes, sizes
-
-    def _far(self, nodes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rows: np.ndarray, texts: list[str]) -> np.ndarray:
-        out = np.empty(len(nodes), np.int64)
-        for a in range(0, len(nodes), _CHUNK):
-            n, r = nodes[a : a + _CHUNK], rows[a : a + _CHUNK]
-            # The masks of a pair are a view by node, so that they are gathered letter by letter.
-            out[a : a + _CHUNK] = _by_index(self.masks, n, self.sizes[n], codes, sizes[r], r)
-        for i in np.flatnonzero(self.sizes[nodes] > _WORD):
-            out[i] = _slow(self.keys[nodes[i]], texts[rows[i]])
-        return out
-
     def _build(self) -> None:
         n = len(self.keys)
         parent, edge = np.full(n, -1), np.zeros(n, np.int64)
         rest = np.arange(1, n)
         pivot = np.zeros(len(rest), np.int64)
         while len(rest):  # a level at a time: each group's first member is its node
-            d = self._far(pivot, self.codes, self.sizes, rest, self.keys)
+            d = self.patterns.distances(pivot, self.patterns.codes, self.patterns.sizes, rest, self.keys)
             group = pivot * (1 << 20) + d
             order = np.lexsort((rest, group))
             rest, pivot, d, group = rest[order], pivot[order], d[order], group[order]
@@ -89,15 +50,15 @@ class BKTree:
         if not self.keys or not texts:
             return none, none, none
         # A text longer than any key by more than its limit has no key within it.
-        able = np.flatnonzero(np.array([len(t) for t in texts]) <= limits + self.sizes.max())
+        able = np.flatnonzero(np.array([len(t) for t in texts]) <= limits + self.patterns.sizes.max())
         if not len(able):
             return none, none, none
         some = [texts[i] for i in able]
-        codes, sizes = self.coded(some)
+        codes, sizes = self.patterns.coded(some)
         limit = np.asarray(limits)[able]
         q, node, found = np.arange(len(some)), np.zeros(len(some), np.int64), []
         while len(q):
-            d = self._far(node, codes, sizes, q, some)
+            d = self.patterns.distances(node, codes, sizes, q, some)
             hit = d <= limit[q]
             found.append((able[q[hit]], node[hit], d[hit]))
             low = np.searchsorted(self.kid_key, node * (1 << 20) + np.maximum(d - limit[q], 0), "left")
@@ -107,30 +68,3 @@ class BKTree:
             at = np.arange(ends[-1]) - np.repeat(ends[:-1] - low, many)
             q, node = np.repeat(q, many), self.kids[at]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _by_index(masks: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of each node to its row's text, bit-parallel over all pairs.
-
-    masks: (node, letter) bits of the letter's places in the key; sizes up to 64.
-    """
-    order = np.argsort(-lengths, kind="stable")
-    node, row, length, size = nodes[order], rows[order], lengths[order], np.minimum(sizes[order], _WORD)
-    score = size.astype(np.int64)
-    last = np.uint64(1) << (np.maximum(size, 1) - 1).astype(np.uint64)
-    plus, minus = np.full(len(size), ~np.uint64(0)), np.zeros(len(size), np.uint64)
-    one = np.uint64(1)
-    for j in range(int(length[0]) if len(length) else 0):
-        n = int(np.searchsorted(-length, -j, "left"))  # texts longer than j
-        p, m, top = plus[:n], minus[:n], last[:n]
-        eq = masks[node[:n], codes[row[:n], j]]
-        xh = (((eq & p) + p) ^ p) | eq
-        ph, mh = m | ~(xh | p), p & xh
-        score[:n] += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
-        ph, mh = (ph << one) | one, mh << one
-        xv = eq | m
-        plus[:n], minus[:n] = mh | ~(xv | ph), ph & xv
-    score[size == 0] = length[size == 0]
-    out = np.empty(len(score), np.int64)
-    out[order] = score
-    return out
