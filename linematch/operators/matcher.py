@@ -1,40 +1,37 @@
 """Items scored against a catalog, best candidates first.
 
-The reference compares every item with every product. Here each distinct
-normalised query meets each distinct normalised term once; the pair table is
-then folded per product by partial aggregation. The catalog side is broadcast
-only while its estimated size is below max_broadcast_bytes; beyond that the
-pairs come from blocks of catalog terms, each of them under the bound, with the
-best candidates merged.
+Every item is compared with every product, as the score is defined; each
+distinct query is compared once. A block of products under a checked size
+travels with the tasks, which score a batch of queries as matrices and keep the
+best candidates, so that no pair is ever a row and nothing but candidates
+leaves a task. A catalog beyond the bound comes in blocks whose candidates merge.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linematch.functions.similarity import (
-    CHAR_WEIGHT,
-    TOKEN_WEIGHT,
-    char_similarity,
-    confidence_band,
-    token_overlap_normalized,
-)
+from linematch.functions.similarity import confidence_band
 from linematch.functions.text import normalize_text
-from linematch.sources.catalog import terms_of
+from linematch.operators.scoring import Block, Product, best_columns, catalog_evidence, total_score
+from linematch.plans.lineage import checkpointed
 
-#: Fixed values of the score.
-WEIGHTS = {"text": 0.42, "token": 0.22, "exact": 0.16, "brand": 0.05, "ocr": 0.10, "unit": 0.05}
-EXACT_BONUS = 0.10
-NEAR_BONUS = 0.04
-NEAR_TEXT = 0.88
 DEFAULT_OCR = 0.70
-EVIDENCE = (0.45, 0.35, 0.20)
-ALIAS_BYTES_RATIO = 3
 TOP_K = 5
 
-#: Bytes of catalog terms that one broadcast may hold.
-MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of catalog text that one block may hold.
+MAX_BROADCAST_BYTES = 16 << 20
+#: Cells of a query-by-term matrix.
+_CELLS = 1 << 20
+_SCORES = ["score", "text_score", "token_score", "embedding_score", "exact_alias_score", "brand_score", "unit_score", "catalog_evidence"]
+_CANDIDATE = "q string, unit string, ocr double, catalog_pos bigint, sku string, canonical_name string, " + ", ".join(
+    f"{s} double" for s in _SCORES
+)
 
 
 def queries_of(items: DataFrame) -> DataFrame:
@@ -47,127 +44,86 @@ def queries_of(items: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Every distinct query text with every distinct term of one block: h (hybrid), t (token overlap)."""
-    return (
-        texts.join(F.broadcast(terms), F.lit(True), "inner")
-        .withColumn("t", token_overlap_normalized(F.col("q"), F.col("term_norm")))
-        .withColumn(
-            "h",
-            F.when(F.col("q") == F.col("term_norm"), 1.0).otherwise(
-                F.lit(CHAR_WEIGHT) * char_similarity(F.col("q"), F.col("term_norm")) + F.lit(TOKEN_WEIGHT) * F.col("t")
-            ),
-        )
+def _list(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+
+def _normalized(products: DataFrame) -> DataFrame:
+    """The fields of Product; NULL names and lists count as empty."""
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    each = lambda name: F.transform(_list(name), lambda x: normalize_text(x))
+    return products.select(
+        F.col("catalog_pos").cast("bigint").alias("catalog_pos"),
+        text("sku").alias("sku"),
+        text("canonical_name").alias("canonical_name"),
+        normalize_text(F.col("canonical_name")).alias("name"),
+        each("aliases").alias("aliases"),
+        each("ocr_errors").alias("errors"),
+        text("brand").alias("brand"),
+        normalize_text(F.col("brand")).alias("brand_norm"),
+        each("units").alias("units"),
     )
 
 
-def score_components(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """(q, catalog_pos) with best, tok, exact, brand for every pair of query text and product.
-
-    NULL names, aliases or brands count as empty. An empty query gets rows too.
-    """
-    terms = (
-        terms_of(products)
-        .withColumn("term", F.coalesce("term", F.lit("")))
-        .withColumn("term_norm", normalize_text(F.col("term")))
-    )
-    texts = queries.select("q").distinct()
-    pairs = _pairs(texts, terms.select("term_norm").distinct())
-    long = pairs.join(F.broadcast(terms), "term_norm")
-    kind, h, t = F.col("kind"), F.col("h"), F.col("t")
-    qb, tb = F.octet_length("q"), F.octet_length("term_norm")
-    comparable = (F.col("term_norm") != "") & (qb <= ALIAS_BYTES_RATIO * tb) & (tb <= ALIAS_BYTES_RATIO * qb)
-    equal = F.col("q") == F.col("term_norm")
-    folded = long.groupBy("q", "catalog_pos").agg(
-        F.max(F.when(kind == "canonical", equal)).alias("exact_name"),
-        F.coalesce(F.max(F.when(kind == "alias", equal)), F.lit(False)).alias("exact_alias"),
-        F.max(
-            F.when(kind == "canonical", h).when((kind == "alias") & comparable, h).when(kind == "ocr_error", h)
-        ).alias("best_text"),
-        F.max(F.when(kind.isin("canonical", "alias"), t)).alias("tok"),
-        F.max(F.when(kind == "brand", h)).alias("brand_text"),
-        F.max(F.when(kind == "brand", (F.instr("q", F.col("term")) > 0).cast("double"))).alias("brand_inside"),
-    )
-    is_exact = F.col("exact_name") | F.col("exact_alias")
-    return folded.select(
-        "q",
-        "catalog_pos",
-        F.when(is_exact, 1.0).otherwise(F.coalesce("best_text", F.lit(0.0))).alias("best"),
-        F.coalesce("tok", F.lit(0.0)).alias("tok"),
-        is_exact.cast("double").alias("exact"),
-        F.when(F.col("exact_name"), 0.0)
-        .when(F.col("exact_alias"), F.coalesce("brand_inside", F.lit(0.0)))
-        .otherwise(F.coalesce("brand_text", F.lit(0.0)))
-        .alias("brand_score"),
-    )
+def _size(products: DataFrame) -> int:
+    text = F.concat_ws("|", "sku", "canonical_name", "canonical_name", "brand", "brand", "aliases", "ocr_errors", "units")
+    return int(products.agg(F.sum(F.lit(64) + F.octet_length(text))).first()[0] or 0)
 
 
-def total_score(best: Column, tok: Column, exact: Column, brand: Column, ocr: Column, unit: Column) -> Column:
-    """The weighted score, at most 1; the order of additions is part of the result."""
-    w = {k: F.lit(v) for k, v in WEIGHTS.items()}
-    plain = (
-        w["text"] * best + w["token"] * tok + w["exact"] * exact + w["brand"] * brand + w["ocr"] * ocr + w["unit"] * unit
-    )
-    bonus = F.when(exact > 0.99, EXACT_BONUS).when(best > NEAR_TEXT, NEAR_BONUS).otherwise(0.0)
-    return F.least(plain + bonus, F.lit(1.0))
-
-
-def catalog_evidence(best: Column, tok: Column, exact: Column, unit: Column) -> Column:
-    base, text, with_unit = EVIDENCE
-    return F.lit(base) + F.lit(text) * F.greatest(exact, best, tok) + F.lit(with_unit) * unit
-
-
-def _scored(queries: DataFrame, products: DataFrame) -> DataFrame:
-    units = products.select(
-        "catalog_pos", "sku", "canonical_name", F.transform("units", normalize_text).alias("norm_units")
-    )
-    scored = (
-        queries.join(score_components(queries, products), "q")
-        .join(F.broadcast(units), "catalog_pos")
-        .withColumn(
-            "unit_score",
-            F.coalesce(F.array_contains("norm_units", normalize_text(F.col("unit"))) & F.col("unit").isNotNull(), F.lit(False))
-            .cast("double"),
-        )
-    )
-    c = F.col
-    return scored.select(
-        "q",
-        "unit",
-        "ocr",
-        "catalog_pos",
-        "sku",
-        "canonical_name",
-        total_score(c("best"), c("tok"), c("exact"), c("brand_score"), c("ocr"), c("unit_score")).alias("score"),
-        c("best").alias("text_score"),
-        c("tok").alias("token_score"),
-        F.lit(0.0).alias("embedding_score"),
-        c("exact").alias("exact_alias_score"),
-        "brand_score",
-        "unit_score",
-        catalog_evidence(c("best"), c("tok"), c("exact"), c("unit_score")).alias("catalog_evidence"),
-    )
+def catalog_blocks(products: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> list[DataFrame]:
+    """The catalog in blocks under the bound (one small aggregate decides)."""
+    n = _size(products) // max_broadcast_bytes + 1
+    if n == 1:
+        return [products]
+    return [products.filter(F.pmod(F.xxhash64("catalog_pos", "sku"), F.lit(n)) == i) for i in range(n)]
+
+
+def _candidates(queries: DataFrame, block: DataFrame, k: int | None) -> DataFrame:
+    """The k best products of a block for every query, all of them if k is None."""
+    products = [Product(*r) for r in _normalized(block).collect()]  # under the bound
+    spark = queries.sparkSession
+    named = F.when(F.col("unit").isNotNull(), normalize_text(F.col("unit"))).alias("unit_norm")
+    spread = queries.select("q", "unit", "ocr", named).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Block | None = None
+        for batch in batches:
+            if not products or not batch.num_rows:
+                continue
+            held = held or Block(products)
+            step = max(1, _CELLS // max(len(held.number), len(products)))
+            for a in range(0, batch.num_rows, step):
+                yield _scored(held, batch.slice(a, step), k)
+
+    return spread.mapInArrow(run, _CANDIDATE)
+
+
+def _scored(block: Block, queries: pa.RecordBatch, k: int | None) -> pa.RecordBatch:
+    texts, units, ocr = (queries.column(i) for i in range(3))  # the fourth is the normalised unit
+    coded = texts.dictionary_encode()
+    components = block.components(coded.dictionary.to_pylist())
+    components = {name: c[coded.indices.to_numpy()] for name, c in components.items()}
+    none = np.zeros(len(block.products))
+    unit = np.array([none if u is None else block.units.get(u, none) for u in queries.column(3).to_pylist()])
+    certain = ocr.to_numpy(zero_copy_only=False)
+    score = total_score(components, certain[:, None], unit)
+    row, column = best_columns(score, k or score.shape[1])
+    at = pa.array(row)
+    columns = [score, components["best"], components["tok"], np.zeros(score.shape), components["exact"], components["brand"], unit, catalog_evidence(components, unit)]
+    chosen = [block.products[j] for j in column.tolist()]
+    arrays = [
+        texts.take(at).cast(pa.string()), units.take(at).cast(pa.string()), ocr.take(at),
+        pa.array([p.catalog_pos for p in chosen], pa.int64()), pa.array([p.sku for p in chosen], pa.string()),
+        pa.array([p.canonical_name for p in chosen], pa.string()), *(pa.array(x[row, column]) for x in columns),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["q", "unit", "ocr", "catalog_pos", "sku", "canonical_name", *_SCORES])
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("q", "unit", "ocr").orderBy(F.col("score").desc(), F.col("catalog_pos"))
+    by = Window.partitionBy("q", "unit", "ocr").orderBy(F.col("score").desc(), F.col("catalog_pos"), F.col("sku"))
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def catalog_blocks(products: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> list[DataFrame]:
-    """The catalog in blocks whose terms fit into one broadcast each (one small aggregate decides)."""
-    size = products.agg(
-        F.sum(
-            F.lit(200)
-            + F.octet_length(F.concat_ws("|", "sku", "canonical_name", "brand", "aliases", "ocr_errors", "units"))
-        )
-    ).first()[0]
-    n = int((size or 0) // max_broadcast_bytes) + 1
-    if n == 1:
-        return [products]
-    return [products.filter(F.pmod(F.xxhash64("catalog_pos"), F.lit(n)) == i) for i in range(n)]
-
-
 def match_items(
     items: DataFrame, products: DataFrame, k: int = TOP_K, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:
@@ -175,11 +131,24 @@ def match_items(
 
     items: product_text, unit, ocr_confidence (others are ignored; join back on
     q = normalize_text(product_text), unit and ocr, null-safe). Equal scores
-    are ranked by catalog_pos. An empty catalog or no items give no rows.
+    are ranked by catalog_pos, then sku. NULL and empty product_text are the
+    empty query. An empty catalog or no items give no rows.
     """
     queries = queries_of(items)
-    parts = [_top(_scored(queries, block), k).drop("rank") for block in catalog_blocks(products, max_broadcast_bytes)]
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
+    blocks = catalog_blocks(products, max_broadcast_bytes)
+    if len(blocks) > 1:
+        queries = checkpointed(queries)  # each block reads them
+    best = _candidates(queries, blocks[0], k)
+    for block in blocks[1:]:
+        best = best.unionByName(_candidates(queries, block, k))
     return _top(best, k).withColumn("confidence_band", confidence_band(F.col("score")))
+
+
+def score_components(items: DataFrame, products: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """All scores of every distinct query of items and every product; for reports, not for matching."""
+    queries = queries_of(items)
+    parts = [_candidates(queries, block, None) for block in catalog_blocks(products, max_broadcast_bytes)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.withColumn("confidence_band", confidence_band(F.col("score")))

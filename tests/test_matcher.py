@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from linematch.operators.matcher import match_items
 from linematch.plans.pipeline import Engine
@@ -65,3 +66,31 @@ def test_null_and_repeated_keys(spark, products):
         ("7", True, ["RICE001"]), ("7", True, ["RICE001"]), ("7", True, ["SOAP001", "SOAP001"]),
         ("8", False, []), ("None", False, []), ("None", True, ["RICE001"]), ("None", True, ["SOAP001", "RICE001"]),
     ]
+
+
+def test_one_block_equals_many(spark, products):
+    items = spark.createDataFrame([(t, u, o) for t in ("rice", "lux soap", "clinic", "", "ચોખા", "s0ap") for u in ("kg", None) for o in (None, 0.9)], ITEMS)
+    one = match_items(items, products, k=2).collect()
+    many = match_items(items, products, k=2, max_broadcast_bytes=400).collect()
+    assert len(one) == 6 * 2 * 2 * 2 and sorted(map(repr, one)) == sorted(map(repr, many))
+
+
+def test_scores_against_columns(spark, products):
+    """The matrices against the similarity columns, for every pair."""
+    from linematch.functions.similarity import hybrid_similarity, token_overlap
+    from linematch.operators.scoring import Block, Product
+
+    texts = ["rice", "basmati rice rice", "s", "", "soap soap", "clinic plus", "ચોખા", "x" * 70, "y" * 400, "rice " * 20 + "z"]
+    norm = [t.strip() for t in texts]
+    block = Block([Product(i, str(i), t, t, [], [], "", "", []) for i, t in enumerate(norm)])
+    hybrid, shared, _ = block.similarities(norm)
+    pairs = spark.createDataFrame([(i, a, j, b) for i, a in enumerate(norm) for j, b in enumerate(norm)], "i int, a string, j int, b string")
+    for r in pairs.select("*", hybrid_similarity(F.col("a"), F.col("b")).alias("h"), token_overlap(F.col("a"), F.col("b")).alias("t")).collect():
+        at = block.number[r.b]
+        assert (hybrid[r.i, at], shared[r.i, at]) == pytest.approx((r.h, r.t)), r
+
+
+def test_empty_catalog_and_no_items(spark, products):
+    items = spark.createDataFrame([("rice", None, None)], ITEMS)
+    assert match_items(items, products.limit(0)).count() == 0
+    assert match_items(items.limit(0), products).count() == 0
