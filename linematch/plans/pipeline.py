@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,11 @@ from linematch.functions.parser import ParserOptions, parse_line
 from linematch.functions.text import detect_language, has_content, lines_of, normalize_text
 from linematch.operators.decision import decide
 from linematch.operators.matcher import DEFAULT_OCR, match_items
+from linematch.plans.lineage import checkpointed
 from linematch.sources.catalog import CatalogError, read_catalog_csv
+from linematch.sources.ocr import OcrProvider, provider_of, scan_uploads
+
+VERSION = "0.2.0"
 
 #: Fixed texts of the result.
 NO_TEXT_CODE = "NO_TEXT_DETECTED"
@@ -120,8 +128,32 @@ def to_json_documents(results: DataFrame, key: str = "doc_id") -> DataFrame:
     return results.select(key, F.when(F.col("success"), good).otherwise(bad).alias("json"))
 
 
+def process_uploads(uploads: DataFrame, products: DataFrame, provider: OcrProvider | None = None, key: str = "path") -> DataFrame:
+    """Uploads to OCR to matched documents, in one plan.
+
+    key, request_id, success, language, error STRUCT<code, message>, status,
+    items, ocr_engine, ocr_confidence: one row for each upload, whose error is
+    that of the upload or else of its text. NULL keys and repeated rows stay.
+    """
+    scanned = scan_uploads(uploads, provider).withColumn("request_id", F.concat(F.lit("REQ-"), F.substring(F.replace(F.uuid(), F.lit("-")), 1, 12)))
+    read = checkpointed(scanned.select(key, "request_id", "text", "error", "ocr_engine", "ocr_confidence"))  # request ids must not change
+    matched = process_documents(read, products, key="request_id").withColumnRenamed("error", "text_error")
+    failed = F.col("error").isNotNull()
+    return read.join(matched, "request_id").select(
+        key,
+        "request_id",
+        (F.col("success") & ~failed).alias("success"),
+        "language",
+        F.when(failed, F.struct(F.col("error.code").alias("code"), F.col("error.message").alias("message"))).otherwise(F.col("text_error")).alias("error"),
+        F.coalesce("error.status", F.lit(200)).alias("status"),
+        "items",
+        "ocr_engine",
+        "ocr_confidence",
+    )
+
+
 class Engine:
-    """Catalog holder with the verbs load_catalog, process, process_text and close."""
+    """Catalog holder with the verbs load_catalog, process, process_text, process_source, match, health and close."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.products = spark, None
@@ -156,15 +188,36 @@ class Engine:
         docs = self.spark.createDataFrame([(0, text or "")], "doc_id long, text string")
         return to_json_documents(self.process(docs)).first()["json"]
 
-    def process_source(self, path_or_text: str, max_bytes: int = 10 << 20) -> str:
-        """A readable file under max_bytes is the text, else the argument itself is."""
+    def process_source(self, path_or_text: str, parity_bytes: int | None = None) -> str:
+        """JSON of a readable file's text, else of the argument itself.
+
+        With parity_bytes (10 MB in the reference) a file of that size or more
+        is not read, and its name is taken for the text.
+        """
         import os
 
-        if os.path.isfile(path_or_text) and os.path.getsize(path_or_text) < max_bytes:
+        if os.path.isfile(path_or_text) and (parity_bytes is None or os.path.getsize(path_or_text) < parity_bytes):
             with open(path_or_text, encoding="utf-8", errors="replace") as f:
                 return self.process_text(f.read())
         return self.process_text(path_or_text)
 
+    def match(self, text: str | None) -> dict:
+        """The result of one text as the service gives it, with request_id and server_time_ms."""
+        began = time.perf_counter()
+        result = json.loads(self.process_text(text))
+        return result | {"request_id": f"REQ-{uuid.uuid4().hex[:12]}", "server_time_ms": round((time.perf_counter() - began) * 1000, 2)}
+
+    def health(self, provider: OcrProvider | None = None) -> dict:
+        """Whether a catalog is loaded, the version and the OCR provider."""
+        return {
+            "success": True,
+            "ok": True,
+            "version": VERSION,
+            "catalog": "loaded" if self.products is not None else "error",
+            "ocr_engine": (provider or provider_of()).name,
+            "cloud_vision_configured": False,
+        }
+
     def close(self) -> None:
         if self.products is not None:
             self.products.unpersist()

@@ -6,7 +6,7 @@ is none that spark.read.csv offers, so lines are split by column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linematch.functions.csv_index import structural_fields
@@ -66,6 +66,7 @@ def products_from_lines(
     lines: DataFrame,
     line: str = "line",
     position: str = "line_no",
+    feed: str | None = None,
     max_columns: int | None = None,
     max_aliases: int | None = None,
     max_errors: int | None = None,
@@ -73,16 +74,18 @@ def products_from_lines(
 ) -> DataFrame:
     """Physical lines (line, position) to products.
 
-    The line at the lowest position is a header if it names columns; comments,
-    blank lines and lines of fewer than four columns are left out. NULL lines
-    are left out. Result: catalog_pos, sku, canonical_name, brand, category,
+    The line at the lowest position, of each feed if a column names feeds, is a
+    header if it names columns; comments, blank lines and lines of fewer than
+    four columns are left out, for the reasons that sources.feed gives. NULL
+    lines are left out. Result: catalog_pos, sku, canonical_name, brand, category,
     aliases, ocr_errors, units. Extra columns of the input are dropped. The
     caps are off by default; PARITY_CAPS are those of the reference.
     """
-    first = lines.agg(F.min(position).alias("_first"))
+    one = F.lit(0) if feed is None else F.col(feed)
+    rows = lines.select(F.col(position).alias("catalog_pos"), F.col(line).alias("_line"), one.alias("_feed"))
+    first = rows.groupBy("_feed").agg(F.min("catalog_pos").alias("_first"))
     rows = (
-        lines.select(F.col(position).alias("catalog_pos"), F.col(line).alias("_line"))
-        .join(F.broadcast(first), F.lit(True), "left")
+        rows.join(first, "_feed")
         .filter(F.col("_line").isNotNull() & ~F.col("_line").rlike("^(#|\r|\n|$)"))
         .filter(~((F.col("catalog_pos") == F.col("_first")) & is_header(F.col("_line"))))
         .withColumn("_f", F.transform(split_csv(F.col("_line"), max_columns), unquote))
@@ -109,13 +112,23 @@ def products_from_lines(
 
 
 def read_catalog_csv(spark: SparkSession, path: str, max_products: int | None = None, **caps: int | None) -> DataFrame:
-    """Products of one CSV file; max_products keeps the first so many, caps go to products_from_lines (all off by default)."""
+    """Products of CSV files, each with its own header; positions follow the files' names and lines.
+
+    A file is read line by line, in as many tasks as it has blocks; a position
+    is the file's number, the block and the line in it. max_products keeps the
+    first so many, caps go to products_from_lines (all off by default).
+    """
     try:
-        whole = spark.read.text(path, wholetext=True)
+        lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("feed"), "_metadata.file_block_start")
+        files = lines.select("feed").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("feed")) - 1)  # one row a file
+        # The low 33 bits of the id count the lines of a task, and a task reads blocks in order; so (block, id) orders a file.
+        lines = lines.withColumn("id", F.monotonically_increasing_id()).join(F.broadcast(files), "feed")
     except Exception as e:
         raise CatalogError("CATALOG_LOAD_FAILED", str(e)[:200]) from e
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    products = products_from_lines(lines, **caps)
+    order = Window.partitionBy("file_no").orderBy("file_block_start", "id")
+    numbered = lines.select("file_no", F.row_number().over(order).alias("line_no"), F.col("value").alias("line"))
+    numbered = numbered.withColumn("line_no", F.col("file_no").cast("bigint") * (1 << 32) + F.col("line_no"))
+    products = products_from_lines(numbered, feed="file_no", **caps)
     if max_products is not None:
         products = products.orderBy("catalog_pos").limit(max_products)
     return products

@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linematch.functions.text import has_content
 
 MAX_UPLOAD_BYTES = 10 << 20
-ENGINE_VARIABLE = "SCANMATCH_OCR_ENGINE"
+ENGINE_VARIABLE = "LINEMATCH_OCR_ENGINE"
 
 #: Fixed values of the mock provider: file name parts, text, confidence, error; the first that applies counts.
 DEFAULT_TEXT = "ચોખા ૫ કિલો\nદૂધ ૧ લિટર\nસાબુ ૪ નંગ\nRice 2 kg\nચા ૫૦૦ g"
@@ -31,6 +31,16 @@ NAME_RULES = [
     ("multiline", "ચોખા ૫ કિલો\nદૂધ ૧ લિટર\nસાબુ ૪ નંગ\nRice 2 kg", 0.95, None),
 ]
 CONTENT_CONFIDENCE = 0.95
+#: Names of the cloud provider, and the errors of an upload with their status.
+CLOUD_NAMES = ("cloud_vision", "google_cloud_vision")
+ERRORS = {
+    "NO_IMAGE": (400, "No image file was uploaded."),
+    "UNSUPPORTED_FORMAT": (400, "Uploaded file is not a supported image."),
+    "EMPTY_IMAGE": (400, "Uploaded image file is empty."),
+    "IMAGE_TOO_LARGE": (413, "Image exceeds maximum allowed size (10 MB)."),
+    "OCR_FAILED": (502, "OCR failure: "),
+    "NO_TEXT_DETECTED": (200, "No readable text was detected in the image."),
+}
 
 _RESULT = "struct<text:string,confidence:double,success:boolean,error:string>"
 
@@ -57,8 +67,8 @@ class MockOcr:
     name = "mock"
 
     def extract(self, content: Column, path: Column, override: Column | None = None) -> Column:
-        """NULL or empty content is an error; NULL path has no rule by name; NULL override is none."""
-        name = F.lower(F.coalesce(path, F.lit("")))
+        """NULL or empty content is an error; rules look at the last part of path, NULL path has none; NULL override is none."""
+        name = F.lower(F.coalesce(F.element_at(F.split(path, "/"), -1), F.lit("")))
         decoded = F.try_validate_utf8(content.cast("string"))
         strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
         readable = decoded.rlike("[^\\x00-\\x7F]") | F.lower(decoded).rlike("kg|rice|soap|g|liter")
@@ -74,7 +84,7 @@ class MockOcr:
 class VisionOcr:
     """Place of a cloud provider; it has no implementation."""
 
-    name = "google"
+    name = CLOUD_NAMES[1]
 
     def extract(self, content: Column, path: Column, override: Column | None = None) -> Column:
         raise NotImplementedError("no cloud OCR provider is part of this library")
@@ -83,7 +93,7 @@ class VisionOcr:
 def provider_of(engine: str | None = None) -> OcrProvider:
     """The provider named by engine or the environment; any unknown name is the mock."""
     name = (engine or os.environ.get(ENGINE_VARIABLE) or "mock").lower()
-    return VisionOcr() if name in ("google", "google_vision", "vision") else MockOcr()
+    return VisionOcr() if name in CLOUD_NAMES else MockOcr()
 
 
 def scan_uploads(uploads: DataFrame, provider: OcrProvider | None = None) -> DataFrame:
@@ -99,21 +109,19 @@ def scan_uploads(uploads: DataFrame, provider: OcrProvider | None = None) -> Dat
     direct = F.coalesce(form != "", F.lit(False))
     kind, size = F.coalesce("content_type", F.lit("")), F.coalesce(F.octet_length("content"), F.lit(0))
 
-    def error(status: int, code: str, message: Column | str) -> Column:
-        message = F.lit(message) if isinstance(message, str) else message
-        return F.struct(F.lit(status).alias("status"), F.lit(code).alias("code"), message.alias("message"))
+    def error(code: str, more: Column | None = None) -> Column:
+        status, message = ERRORS[code]
+        text = F.lit(message) if more is None else F.concat(F.lit(message), more)
+        return F.struct(F.lit(status).alias("status"), F.lit(code).alias("code"), text.alias("message"))
 
     ocr = uploads.withColumn("_o", F.when(~direct, provider.extract(F.col("content"), F.col("path"), override)))
     failed = (
-        F.when(F.col("content").isNull() & F.col("path").isNull(), error(400, "NO_IMAGE", "No image file was uploaded."))
-        .when(
-            ~(kind.startswith("image/") | (kind == "application/octet-stream")),
-            error(400, "UNSUPPORTED_FORMAT", "Uploaded file is not a supported image."),
-        )
-        .when(size == 0, error(400, "EMPTY_IMAGE", "Uploaded image file is empty."))
-        .when(size > MAX_UPLOAD_BYTES, error(413, "IMAGE_TOO_LARGE", "Image exceeds maximum allowed size (10 MB)."))
-        .when(F.col("_o.error").isNotNull(), error(502, "OCR_FAILED", F.concat(F.lit("OCR failure: "), F.col("_o.error"))))
-        .when(~has_content(F.col("_o.text")), error(200, "NO_TEXT_DETECTED", "No readable text was detected in the image."))
+        F.when(F.col("content").isNull() & F.col("path").isNull(), error("NO_IMAGE"))
+        .when(~(kind.startswith("image/") | (kind == "application/octet-stream")), error("UNSUPPORTED_FORMAT"))
+        .when(size == 0, error("EMPTY_IMAGE"))
+        .when(size > MAX_UPLOAD_BYTES, error("IMAGE_TOO_LARGE"))
+        .when(F.col("_o.error").isNotNull(), error("OCR_FAILED", F.col("_o.error")))
+        .when(~has_content(F.col("_o.text")), error("NO_TEXT_DETECTED"))
     )
     return (
         ocr.withColumn("error", F.when(~direct, failed))
@@ -122,3 +130,9 @@ def scan_uploads(uploads: DataFrame, provider: OcrProvider | None = None) -> Dat
         .withColumn("ocr_confidence", F.when(~direct, F.col("_o.confidence")))
         .drop("_o")
     )
+
+
+def read_uploads(spark: SparkSession, path: str, content_type: str = "image/jpeg") -> DataFrame:
+    """Files of a folder as uploads (path, content, content_type)."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content", F.lit(content_type).alias("content_type"))

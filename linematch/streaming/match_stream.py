@@ -16,8 +16,11 @@ def match_stream(docs: DataFrame, products: DataFrame, out: str, checkpoint: str
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        items = match_parsed(parse_items(split_lines(batch, "text", (key,))), products)
-        items.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        parsed = parse_items(split_lines(batch, "text", (key,))).persist()  # read for the queries and for the join
+        try:
+            match_parsed(parsed, products).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            parsed.unpersist()
 
     return (
         docs.writeStream.foreachBatch(write)
