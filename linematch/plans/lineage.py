@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; one is made only where spark.checkpoint.dir is unset, as in tests."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is made only where spark.checkpoint.dir is unset, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
