@@ -49,6 +49,7 @@ _AMOUNT = re.compile(
     f"(?<![{_LETTER}])(?:\\d+\\s*[x×]\\s*)?(?:{_NUMBER}\\s*|(?:{_any(WORDS)})\\s+)(?:{_any(UNITS)})(?![{_LETTER}])"
     f"(?:\\s*[x×]\\s*\\d+(?![{_LETTER}]))?"
 )
+_COMMENT = re.compile(f"(?<!\\S)(?:{_any(COMMENTS)})(?!\\S)")
 _WORD = re.compile("(?:[^\\W_]|[\u0900-\u0963\u0966-\u0dff])+")
 _PLAIN_DIGITS = str.maketrans(GUJARATI_DIGITS + DEVANAGARI_DIGITS, "0123456789" * 2, "\u200c\u200d")
 _ACCENT = re.compile("[\u0300-\u036f]")
@@ -81,9 +82,6 @@ class NameIndex:
 
     def __post_init__(self) -> None:
         named = [(sku, pos, kind, words) for sku, pos, kind, name in self.rows if (words := words_of(name))]
-        said = {w for *_, words in named for w in words}
-        free = [c for c in COMMENTS if not said & set(c.split())]  # a comment that a name contains is no comment
-        self.comment = re.compile(f"(?<!\\S)(?:{_any(free)})(?!\\S)") if free else None
         self.trees: list[tuple[Callable[[list[str]], str], BKTree, list[tuple]]] = []
         for form in ("".join, lambda w: " ".join(sorted(w)), consonants):
             best: dict[str, tuple] = {}
@@ -93,13 +91,19 @@ class NameIndex:
             keys = sorted(best)
             self.trees.append((form, BKTree(keys), [best[k] for k in keys]))
 
-    def key_of(self, text: str) -> str:
-        """The words of a value, comments taken off."""
-        text = " ".join(words_of(text))
-        return " ".join(self.comment.sub(" ", text).split()) if self.comment else text
-
     def search(self, keys: list[str]) -> list[tuple | None]:
-        """For each key the best (form, distance, kind, catalog_pos, sku) within the threshold, or None."""
+        """For each text of words the best (form, distance, kind, catalog_pos, sku) within the threshold, or None.
+
+        A comment that a name has too is looked for first; only then is it taken off.
+        """
+        out = self._search(keys)
+        bare = {i: " ".join(_COMMENT.sub(" ", k).split()) for i, k in enumerate(keys) if out[i] is None}
+        bare = {i: k for i, k in bare.items() if k != keys[i]}
+        for i, found in zip(bare, self._search(list(bare.values())), strict=True):
+            out[i] = found
+        return out
+
+    def _search(self, keys: list[str]) -> list[tuple | None]:
         out: list[tuple | None] = [None] * len(keys)
         words = [k.split() for k in keys]
         open_ = [i for i, w in enumerate(words) if w]
@@ -139,7 +143,7 @@ def _resolver(index: Callable[[], NameIndex]) -> Callable[[pa.Array], list[tuple
         if not held:
             held.append(index())
         coded = pa.chunked_array([consistent_strings(texts)[0]]).combine_chunks().dictionary_encode()
-        keys = [held[0].key_of(t) for t in coded.dictionary.to_pylist()]
+        keys = [" ".join(words_of(t)) for t in coded.dictionary.to_pylist()]
         if len(cache) > _CACHE:
             cache.clear()
         new = sorted({k for k in keys if k not in cache})
