@@ -134,6 +134,8 @@ def known_and_missing(items: DataFrame, sources: DataFrame, units: DataFrame, pr
     is given, else nothing. The texts are read once: what is kept of them is
     written to the checkpoint folder, as the model and the result both need it.
     """
+    more = [F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ("product_text", "lang")]
+    items = items.select("item_id", "raw_text", "quantity", "unit", "source_code", *more)
     items = categories_of(items, products) if products is not None else items.withColumn("category", F.lit(None).cast("string"))
     words = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
     state = F.when(F.col("s.named") | F.col("unit").isNotNull(), "stated").when(F.col("quantity") > 0, "missing")
@@ -156,7 +158,7 @@ def fitted_units(rows: DataFrame, units: DataFrame) -> UnitModel:
     own = F.coalesce("own", "s.base_unit")
     labelled = rows.select(
         F.when(F.col("state") == "stated", own).when(F.col("state") == "missing", F.col("default_unit")).alias("label"),
-        "quantity", "source_code", "category", "lang", F.col("state").alias("stated"),
+        "quantity", "source_code", "category", "lang", F.col("state").alias("stated"), "item_id",
     )
     known = F.broadcast(units.select(F.col("unit").alias("label")))
     return UnitModel(labelled.filter("quantity > 0").join(known, "label", "left_semi"))
@@ -181,9 +183,7 @@ def item_amounts(items: DataFrame, sources: DataFrame, units: DataFrame, product
     NULL and empty texts state nothing; repeated rows each give a row; further
     columns are dropped.
     """
-    columns = ["item_id", "raw_text", "quantity", "unit", "source_code"]
-    more = [F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ("product_text", "lang")]
-    rows = known_and_missing(items.select(*columns, *more), sources, units, products)
+    rows = known_and_missing(items, sources, units, products)
     by_unit = F.broadcast(units.filter("base_unit IS NOT NULL AND factor IS NOT NULL").select(F.col("unit").alias("assigned"), "base_unit", "factor"))
     wanted = ["item_id", "quantity", "unit", "assigned"]
     guessed = assigned_units(rows, fitted_units(rows, units)).select(wanted)

@@ -9,7 +9,7 @@ leaves a task. A catalog beyond the bound comes in blocks whose candidates merge
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,14 +125,20 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def match_items(
-    items: DataFrame, products: DataFrame, k: int = TOP_K, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+    items: DataFrame,
+    products: DataFrame,
+    k: int = TOP_K,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    embedding: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """The k best candidates of every distinct query of items.
 
     items: product_text, unit, ocr_confidence (others are ignored; join back on
     q = normalize_text(product_text), unit and ocr, null-safe). Equal scores
     are ranked by catalog_pos, then sku. NULL and empty product_text are the
-    empty query. An empty catalog or no items give no rows.
+    empty query. An empty catalog or no items give no rows. embedding, a
+    function of q and canonical_name, fills embedding_score of the candidates;
+    that column has no weight in the score.
     """
     queries = queries_of(items)
     blocks = catalog_blocks(products, max_broadcast_bytes)
@@ -141,7 +147,8 @@ def match_items(
     best = _candidates(queries, blocks[0], k)
     for block in blocks[1:]:
         best = best.unionByName(_candidates(queries, block, k))
-    return _top(best, k).withColumn("confidence_band", confidence_band(F.col("score")))
+    best = _top(best, k).withColumn("confidence_band", confidence_band(F.col("score")))
+    return best if embedding is None else best.withColumn("embedding_score", embedding(F.col("q"), F.col("canonical_name")))
 
 
 def score_components(items: DataFrame, products: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

@@ -43,7 +43,7 @@ def parse_items(lines: DataFrame, options: ParserOptions = ParserOptions()) -> D
     )
 
 
-def match_parsed(items: DataFrame, products: DataFrame, **options: int) -> DataFrame:
+def match_parsed(items: DataFrame, products: DataFrame, **options: object) -> DataFrame:
     """items with the decision columns; every item of equal query, unit and confidence shares one scoring."""
     keys = ["q", "unit", "ocr"]
     decided = decide(match_items(items, products, **options), keys)
@@ -92,7 +92,7 @@ def item_struct() -> Column:
     )
 
 
-def process_documents(docs: DataFrame, products: DataFrame, text: str = "text", key: str = "doc_id", **options: int) -> DataFrame:
+def process_documents(docs: DataFrame, products: DataFrame, text: str = "text", key: str = "doc_id", **options: object) -> DataFrame:
     """One row per document: key, success, language, error, items (nested, in line order).
 
     Blank or NULL text gives success false with the error; a document whose

@@ -94,3 +94,10 @@ def test_empty_catalog_and_no_items(spark, products):
     items = spark.createDataFrame([("rice", None, None)], ITEMS)
     assert match_items(items, products.limit(0)).count() == 0
     assert match_items(items.limit(0), products).count() == 0
+
+
+def test_embedding_has_no_weight(spark, products):
+    items = spark.createDataFrame([("rcie", None, None)], ITEMS)
+    plain = {r.sku: r.score for r in match_items(items, products).collect()}
+    hooked = match_items(items, products, embedding=lambda q, name: F.length(name).cast("double")).collect()
+    assert {r.sku: r.score for r in hooked} == plain and {r.embedding_score for r in hooked} == {4.0, 19.0}
