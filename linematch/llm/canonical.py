@@ -49,7 +49,6 @@ _AMOUNT = re.compile(
     f"(?<![{_LETTER}])(?:\\d+\\s*[x×]\\s*)?(?:{_NUMBER}\\s*|(?:{_any(WORDS)})\\s+)(?:{_any(UNITS)})(?![{_LETTER}])"
     f"(?:\\s*[x×]\\s*\\d+(?![{_LETTER}]))?"
 )
-_COMMENT = re.compile(f"(?<!\\S)(?:{_any(COMMENTS)})(?!\\S)")
 _WORD = re.compile("(?:[^\\W_]|[\u0900-\u0963\u0966-\u0dff])+")
 _PLAIN_DIGITS = str.maketrans(GUJARATI_DIGITS + DEVANAGARI_DIGITS, "0123456789" * 2, "\u200c\u200d")
 _ACCENT = re.compile("[\u0300-\u036f]")
@@ -69,6 +68,14 @@ def consonants(words: list[str]) -> str:
     return "".join(w[0] + _VOWEL.sub("", w[1:]) for w in words)
 
 
+def _phrases(comments: list[str]) -> re.Pattern | None:
+    return re.compile(f"(?<!\\S)(?:{_any(comments)})(?!\\S)") if comments else None
+
+
+def _without(phrases: re.Pattern | None, words: str) -> str:
+    return " ".join(phrases.sub(" ", words).split()) if phrases else words
+
+
 def threshold(length: int) -> int:
     """Edits within which a name of so many characters is still named."""
     return 0 if length < 5 else 1 if length < 9 else 2
@@ -82,6 +89,9 @@ class NameIndex:
 
     def __post_init__(self) -> None:
         named = [(sku, pos, kind, words) for sku, pos, kind, name in self.rows if (words := words_of(name))]
+        said = {w for *_, words in named for w in words}
+        self.comment = _phrases([c for c in COMMENTS if not said & set(c.split())])
+        self.word = _phrases([c for c in COMMENTS if said & set(c.split())])
         self.trees: list[tuple[Callable[[list[str]], str], BKTree, list[tuple]]] = []
         for form in ("".join, lambda w: " ".join(sorted(w)), consonants):
             best: dict[str, tuple] = {}
@@ -94,10 +104,11 @@ class NameIndex:
     def search(self, keys: list[str]) -> list[tuple | None]:
         """For each text of words the best (form, distance, kind, catalog_pos, sku) within the threshold, or None.
 
-        A comment that a name has too is looked for first; only then is it taken off.
+        Comments are taken off; one that some name has too only where nothing is found with it.
         """
+        keys = [_without(self.comment, k) for k in keys]
         out = self._search(keys)
-        bare = {i: " ".join(_COMMENT.sub(" ", k).split()) for i, k in enumerate(keys) if out[i] is None}
+        bare = {i: _without(self.word, k) for i, k in enumerate(keys) if out[i] is None} if self.word else {}
         bare = {i: k for i, k in bare.items() if k != keys[i]}
         for i, found in zip(bare, self._search(list(bare.values())), strict=True):
             out[i] = found
