@@ -165,12 +165,14 @@ def no_text_documents(spark, sf_dir):
 
 
 @_query(
-    "WITH p AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a, part b) "
-    "SELECT a, b, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN 1.0::DOUBLE - abs(length(a) - length(b))::DOUBLE / greatest(length(a), length(b)) < 0.2 "
+    "WITH p AS (SELECT a.p_partkey, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) "
+    "SELECT p_partkey, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN 1.0::DOUBLE - abs(length(a) - length(b))::DOUBLE / greatest(length(a), length(b)) < 0.2 "
     "THEN 1.0::DOUBLE - abs(length(a) - length(b))::DOUBLE / greatest(length(a), length(b)) "
-    "ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS similarity FROM p"
+    "ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 10) AS similarity FROM p"
 )
 def char_similarity(spark, sf_dir):
-    names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    pairs = names.crossJoin(names.withColumnRenamed("a", "b"))
-    return pairs.select("a", "b", F.round(similarity.char_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Every part's name beside that of the part that follows it."""
+    part = _table(spark, sf_dir, "part")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
+    pairs = part.select("p_partkey", F.col("p_name").alias("a")).join(after, "p_partkey")
+    return pairs.select("p_partkey", F.round(similarity.char_similarity(F.col("a"), F.col("b")), 10).alias("similarity"))

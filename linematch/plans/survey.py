@@ -99,33 +99,36 @@ def _hyb(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 0.65::DOUBLE * {_char(a, b)} + 0.35::DOUBLE * {_tok(a, b)} END)"
 
 
-_PAIRS = "WITH p AS (SELECT DISTINCT a.p_name AS a, b.p_type || ' ' || b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_type, p_name FROM part) b), n AS (SELECT a, b, lower(b) AS nb FROM p) "
+_PAIRS = (
+    "WITH p AS (SELECT a.p_partkey, a.p_name AS a, b.p_type || ' ' || b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), "
+    "n AS (SELECT p_partkey, a, lower(b) AS nb FROM p) "
+)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct name with every distinct 'type name': two small sets of words, whatever the size of part."""
+    """Every part's name beside type and name of the part that follows it."""
     part = _table(spark, sf_dir, "part")
-    names, typed = part.select(F.col("p_name").alias("a")).distinct(), part.select(F.concat_ws(" ", "p_type", "p_name").alias("b")).distinct()
-    return names.crossJoin(typed)
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat_ws(" ", "p_type", "p_name").alias("b"))
+    return part.select("p_partkey", F.col("p_name").alias("a")).join(after, "p_partkey")
 
 
-@_query(_PAIRS + f"SELECT a, b, round({_tok('a', 'nb')}, 10) AS similarity FROM n")
+@_query(_PAIRS + f"SELECT p_partkey, round({_tok('a', 'nb')}, 10) AS similarity FROM n")
 def token_overlap(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a", "b", F.round(similarity.token_overlap(F.col("a"), F.col("b")), 10).alias("similarity"))
+    return _pairs(spark, sf_dir).select("p_partkey", F.round(similarity.token_overlap(F.col("a"), F.col("b")), 10).alias("similarity"))
 
 
-@_query(_PAIRS + f"SELECT a, b, round({_hyb('a', 'nb')}, 10) AS similarity FROM n")
+@_query(_PAIRS + f"SELECT p_partkey, round({_hyb('a', 'nb')}, 10) AS similarity FROM n")
 def hybrid_similarity(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a", "b", F.round(similarity.hybrid_similarity(F.col("a"), F.col("b")), 10).alias("similarity"))
+    return _pairs(spark, sf_dir).select("p_partkey", F.round(similarity.hybrid_similarity(F.col("a"), F.col("b")), 10).alias("similarity"))
 
 
 _BAND = "CASE WHEN {0} >= 0.8 THEN 'HIGH' WHEN {0} >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-@_query(_PAIRS + f", s AS (SELECT a, b, {_hyb('a', 'nb')} AS h FROM n) SELECT a, b, {_BAND.format('h')} AS band FROM s")
+@_query(_PAIRS + f", s AS (SELECT p_partkey, {_hyb('a', 'nb')} AS h FROM n) SELECT p_partkey, {_BAND.format('h')} AS band FROM s")
 def band(spark, sf_dir):
     score = similarity.hybrid_similarity(F.col("a"), F.col("b"))
-    return _pairs(spark, sf_dir).select("a", "b", similarity.confidence_band(score).alias("band"))
+    return _pairs(spark, sf_dir).select("p_partkey", similarity.confidence_band(score).alias("band"))
 
 
 @_query(
