@@ -26,14 +26,16 @@ def planned(sizes: DataFrame, targets: DataFrame, budget: int | None = None) ->
     tokens meets its share. A source gives at most max_repeats times its size.
     """
     totals = sizes.groupBy("source").agg(F.sum("tokens").alias("total"))
-    plan = targets.filter("source IS NOT NULL AND target_share > 0").join(totals, "source", "left").fillna(0, ["total"])
+    plan = targets.filter("source IS NOT NULL AND target_share > 0").dropDuplicates(["source"]).join(totals, "source", "left").fillna(0, ["total"])
     cap = F.col("total") * F.col("max_repeats")
-    if budget is None:
-        room = plan.filter("total > 0 AND max_repeats > 0").agg(F.min(cap / F.col("target_share")).alias("size"))
-    else:
-        room = plan.agg(F.lit(float(budget)).alias("size"))
-    wanted = F.least(F.floor(F.col("target_share") * F.coalesce("size", F.lit(0.0))), cap)
-    return plan.crossJoin(F.broadcast(room)).select("source", "target_share", "max_repeats", "total", wanted.cast("bigint").alias("wanted"))
+    size = float(budget) if budget is not None else _largest(plan.filter("total > 0 AND max_repeats > 0").withColumn("cap", cap))
+    wanted = F.least(F.floor(F.col("target_share") * F.lit(size)), cap)
+    return plan.select("source", "target_share", "max_repeats", "total", wanted.cast("bigint").alias("wanted"))
+
+
+def _largest(plan: DataFrame) -> float:
+    """Tokens of the largest mix in which every source can meet its share."""
+    return float(plan.agg(F.min(F.col("cap") / F.col("target_share"))).first()[0] or 0.0)
 
 
 def thresholds(sizes: DataFrame, parts: DataFrame) -> DataFrame:

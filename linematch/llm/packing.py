@@ -20,6 +20,8 @@ from linematch.plans.lineage import checkpointed
 
 #: Items of a group, on average.
 GROUP_ITEMS = 20_000
+#: Kinds of containers; each packs every item once.
+MOST_KINDS = 100
 
 
 def first_fit_decreasing(sizes: Sequence[int], capacity: int) -> np.ndarray:
@@ -59,7 +61,12 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     items = items.select(key, F.col(size).cast("bigint").alias("tokens")).filter("tokens >= 0")
     n = items.count()
     groups = -(-n // group_items) or 1
-    kinds = containers.filter("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens"))
+    kinds = containers.filter("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    each = [F.struct(F.lit(k.container).alias("container"), F.lit(k.capacity_tokens).cast("bigint").alias("capacity_tokens")) for k in kinds]
+    if not each:
+        items, each = items.limit(0), [F.struct(F.lit("").alias("container"), F.lit(1).cast("bigint").alias("capacity_tokens"))]
     keys = items.schema[key].dataType.simpleString()
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +98,7 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
 
     grouped = items.withColumn("grp", F.pmod(F.xxhash64(F.lit("containers"), key, F.rand(17)), F.lit(groups)))
     return (
-        grouped.join(F.broadcast(kinds), F.lit(True))
+        grouped.select("*", F.inline(F.array(*each)))
         .groupBy("container", "grp")
         .applyInPandas(
             place,

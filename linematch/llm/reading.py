@@ -125,8 +125,8 @@ def reading_bands(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     rated = checkpointed(prepared(docs.join(ratings.select("doc_id").distinct(), "doc_id", "left_semi"), text))
     docs = prepared(docs, text)
     vocabulary = checkpointed(graded_vocabulary(docs, rated, ratings))
-    cuts = checkpointed(calibrated_cuts(coverage_ranks(rated, vocabulary), ratings))
+    low, high = calibrated_cuts(coverage_ranks(rated, vocabulary), ratings).first()  # two numbers
     coverage = F.col("coverage")
-    band = F.when(coverage.isNull() | F.col("low").isNull(), BANDS[1]).when(coverage <= F.col("low"), BANDS[0])
-    band = band.when(coverage <= F.col("high"), BANDS[1]).otherwise(BANDS[2])
-    return coverage_ranks(docs, vocabulary).join(F.broadcast(cuts), F.lit(True), "left").select("doc_id", band.alias("band"))
+    band = F.when(coverage.isNull() | F.lit(low is None), BANDS[1]).when(coverage <= F.lit(low), BANDS[0])
+    band = band.when(coverage <= F.lit(high), BANDS[1]).otherwise(BANDS[2])
+    return coverage_ranks(docs, vocabulary).select("doc_id", band.alias("band"))
