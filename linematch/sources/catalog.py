@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linematch.functions.csv_index import structural_fields
 from linematch.functions.text import trim
+from linematch.plans.lineage import checkpointed
 
 #: Fixed values of the format.
 MAX_COLUMNS = 12
@@ -76,8 +77,8 @@ def products_from_lines(
 
     The line at the lowest position, of each feed if a column names feeds, is a
     header if it names columns; comments, blank lines and lines of fewer than
-    four columns are left out, for the reasons that sources.feed gives. NULL
-    lines are left out. Result: catalog_pos, sku, canonical_name, brand, category,
+    four columns are left out (short_lines() gives those). NULL lines are left
+    out. Result: catalog_pos, sku, canonical_name, brand, category,
     aliases, ocr_errors, units. Extra columns of the input are dropped. The
     caps are off by default; PARITY_CAPS are those of the reference.
     """
@@ -111,23 +112,42 @@ def products_from_lines(
     )
 
 
+def short_lines(lines: DataFrame, line: str = "line", position: str = "line_no") -> DataFrame:
+    """position, line, reason of the lines that products_from_lines leaves out for want of columns."""
+    columns = F.size(split_csv(F.col(line), None))
+    content = F.col(line).isNotNull() & ~F.col(line).rlike("^(#|\r|\n|$)")
+    return lines.filter(content).withColumn("_n", columns).filter(F.col("_n") < SHORT_COLUMNS).select(position, line, F.lit("column_count").alias("reason"))
+
+
 def read_catalog_csv(spark: SparkSession, path: str, max_products: int | None = None, **caps: int | None) -> DataFrame:
     """Products of CSV files, each with its own header; positions follow the files' names and lines.
 
-    A file is read line by line, in as many tasks as it has blocks; a position
-    is the file's number, the block and the line in it. max_products keeps the
-    first so many, caps go to products_from_lines (all off by default).
+    A file is read line by line, in as many tasks as it has blocks. A line's
+    number is the lines of the blocks before it and its place in its block, so
+    that only one row a block is ever sorted. max_products keeps the first so
+    many, caps go to products_from_lines (all off by default).
     """
     try:
-        lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("feed"), "_metadata.file_block_start")
-        files = lines.select("feed").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("feed")) - 1)  # one row a file
-        # The low 33 bits of the id count the lines of a task, and a task reads blocks in order; so (block, id) orders a file.
-        lines = lines.withColumn("id", F.monotonically_increasing_id()).join(F.broadcast(files), "feed")
+        # Written once: the ids must be the same wherever they are used.
+        lines = checkpointed(
+            spark.read.text(path, lineSep="\n").select(
+                "value",
+                F.col("_metadata.file_path").alias("feed"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("id"),
+            )
+        )
     except Exception as e:
         raise CatalogError("CATALOG_LOAD_FAILED", str(e)[:200]) from e
-    order = Window.partitionBy("file_no").orderBy("file_block_start", "id")
-    numbered = lines.select("file_no", F.row_number().over(order).alias("line_no"), F.col("value").alias("line"))
-    numbered = numbered.withColumn("line_no", F.col("file_no").cast("bigint") * (1 << 32) + F.col("line_no"))
+    blocks = lines.groupBy("feed", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("feed").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "feed", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.dense_rank().over(Window.orderBy("feed")).alias("file_no")
+    )
+    place = F.col("before") + F.col("id") - F.col("first")
+    numbered = lines.join(blocks, ["feed", "block"]).select(
+        "file_no", F.col("value").alias("line"), ((F.col("file_no").cast("bigint") - 1) * (1 << 40) + place).alias("line_no")
+    )
     products = products_from_lines(numbered, feed="file_no", **caps)
     if max_products is not None:
         products = products.orderBy("catalog_pos").limit(max_products)

@@ -36,3 +36,28 @@ def test_caps_are_off_by_default(spark):
     assert (len(row.aliases), len(row.ocr_errors), len(row.units)) == (40, 40, 80)
     (row,) = products_from_lines(lines, **PARITY_CAPS).collect()
     assert (len(row.aliases), len(row.ocr_errors), len(row.units)) == (32, 32, 16)
+
+
+def test_files_in_blocks(spark, tmp_path):
+    from linematch.sources.catalog import read_catalog_csv
+
+    for name, n in (("b", 300), ("a", 200)):
+        rows = "".join(f"{name.upper()}{i:04d},Name {i},Cat,{'x' * (i % 50)}\n" for i in range(n))
+        (tmp_path / f"{name}.csv").write_text("sku,canonical_name,category,aliases\n" + rows)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = read_catalog_csv(spark, str(tmp_path)).orderBy("catalog_pos").collect()
+        assert [r.sku for r in got] == [f"A{i:04d}" for i in range(200)] + [f"B{i:04d}" for i in range(300)]
+        assert [r.catalog_pos for r in got[:3]] == [1, 2, 3]
+        assert [r.sku for r in read_catalog_csv(spark, str(tmp_path), max_products=2).collect()] == ["A0000", "A0001"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_short_lines(spark):
+    from linematch.sources.catalog import short_lines
+
+    lines = spark.createDataFrame([(1, "a,b,c,d"), (2, 'a,"b,c",d'), (3, "# a"), (4, ""), (5, None), (6, "a")], "line_no int, line string")
+    assert sorted((r.line_no, r.reason) for r in short_lines(lines).collect()) == [(2, "column_count"), (6, "column_count")]
+    assert [r.sku for r in products_from_lines(lines).collect()] == ["a"]
