@@ -101,12 +101,34 @@ def _candidates(queries: DataFrame, block: DataFrame, k: int | None) -> DataFram
 def _scored(block: Block, queries: pa.RecordBatch, k: int | None) -> pa.RecordBatch:
     texts, units, ocr = (queries.column(i) for i in range(3))  # the fourth is the normalised unit
     coded = texts.dictionary_encode()
-    components = block.components(coded.dictionary.to_pylist())
-    components = {name: c[coded.indices.to_numpy()] for name, c in components.items()}
+    distinct, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     none = np.zeros(len(block.products))
     unit = np.array([none if u is None else block.units.get(u, none) for u in queries.column(3).to_pylist()])
-    certain = ocr.to_numpy(zero_copy_only=False)
-    score = total_score(components, certain[:, None], unit)
+    certain = ocr.to_numpy(zero_copy_only=False)[:, None]
+    compared = block.compare(distinct)
+
+    def scores() -> tuple[dict[str, np.ndarray], np.ndarray]:
+        c = {name: x[of] for name, x in block.components(distinct, compared).items()}
+        return c, total_score(c, certain, unit)
+
+    def settle(products: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Exact scores of the marked products (row, product)."""
+        by_text = np.zeros((len(distinct), products.shape[1]), bool)
+        np.logical_or.at(by_text, of, products)
+        compared.exact(block.using(by_text))
+        return scores()
+
+    if k is None or k >= len(block.products):
+        components, score = settle(np.ones((len(of), len(block.products)), bool))
+    else:
+        _, highest = scores()
+        first = np.zeros(highest.shape, bool)
+        first[best_columns(highest, k)] = True
+        _, score = settle(first)
+        least = np.where(first, score, np.inf).min(axis=1, keepdims=True)  # k products have at least this
+        able = highest >= least - 1e-9
+        components, score = settle(able)
+        score = np.where(able, score, -np.inf)
     row, column = best_columns(score, k or score.shape[1])
     at = pa.array(row)
     columns = [score, components["best"], components["tok"], np.zeros(score.shape), components["exact"], components["brand"], unit, catalog_evidence(components, unit)]

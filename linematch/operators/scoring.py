@@ -3,6 +3,11 @@
 Terms that products share are compared once. Edit distances are bit-parallel,
 shared words come from postings, and maxima by product are reductions over the
 terms in product order; no pair of query and product ever is a row.
+
+For the k best, distances are computed only where they can matter: letters of
+one text that the other lacks bound the distance from below, so that every
+product has a highest possible score; products whose highest possible score is
+under the k-th best score found can't be among the best. Nothing is lost by it.
 """
 
 from __future__ import annotations
@@ -48,6 +53,11 @@ class _Lists:
         self.owners = np.flatnonzero(sizes)
         self.starts = (np.cumsum(sizes) - sizes)[self.owners]
 
+    def owned(self) -> list[tuple[int, int]]:
+        """(term, product) of every entry."""
+        sizes = np.diff(np.append(self.starts, len(self.at)))
+        return list(zip(self.at.tolist(), np.repeat(self.owners, sizes).tolist(), strict=True))
+
     def most(self, values: np.ndarray, into: np.ndarray) -> np.ndarray:
         """into (query, product), raised to the most of values (query, term) over each product's terms."""
         if len(self.at):
@@ -73,41 +83,37 @@ class Block:
         self.names = np.array([number(p.name) for p in self.products], np.int64)
         self.aliases = _Lists([[number(a) for a in p.aliases] for p in self.products])
         self.errors = _Lists([[number(e) for e in p.errors] for p in self.products])
+        at = [*zip(self.names.tolist(), range(len(self.names))), *self.aliases.owned(), *self.errors.owned()]
         self.branded = np.array([i for i, p in enumerate(self.products) if p.brand], np.int64)
         self.brands = np.array([number(self.products[i].brand_norm) for i in self.branded], np.int64)
+        at += zip(self.brands.tolist(), self.branded.tolist())
+        users = np.array(sorted(at), np.int64).reshape(-1, 2)
+        # The products that use each term, term after term.
+        self.users, self.user_starts = users[:, 1], np.searchsorted(users[:, 0], np.arange(len(terms)))
+        self.letters = np.zeros((len(terms), len(self.patterns.letters) + 1), np.float32)
+        np.add.at(self.letters, (np.repeat(np.arange(len(terms)), self.patterns.sizes), _flat(self.patterns.codes, self.patterns.sizes)), 1)
         self.units = defaultdict(lambda: np.zeros(len(self.products)))
         for i, p in enumerate(self.products):
             for u in p.units:
                 self.units[u][i] = 1.0
 
+    def compare(self, queries: list[str]) -> "Comparison":
+        return Comparison(self, queries)
+
     def similarities(self, queries: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """hybrid, shared words and equality of every query and term."""
-        ours, theirs = np.array([len(q) for q in queries])[:, None], self.patterns.sizes[None, :]
-        longer = np.maximum(np.maximum(ours, theirs), 1).astype(float)
-        chars = 1.0 - np.abs(ours - theirs) / longer
-        equal = np.zeros(chars.shape, bool)
-        shared = np.zeros(chars.shape)
-        for i, q in enumerate(queries):
-            if (n := self.number.get(q)) is not None:
-                equal[i, n] = True
-            words = q.split(" ")
-            for w in words if q else ():
-                if w in self.words:
-                    shared[i, self.words[w]] += 1.0
-            shared[i] /= len(words)
-        both = (ours > 0) & (theirs > 0)
-        row, term = np.nonzero(both & ~equal & (chars >= LENGTH_BOUND))
-        near = np.zeros(len(queries), bool)
-        near[row] = True
-        codes, sizes = self.patterns.coded([q if near[i] else "" for i, q in enumerate(queries)])
-        chars[row, term] = 1.0 - self.patterns.distances(term, codes, sizes, row, queries) / longer[row, term]
-        chars[~both & ~equal] = 0.0
-        shared[equal & both] = 1.0
-        return np.where(equal, 1.0, CHAR_WEIGHT * chars + TOKEN_WEIGHT * shared), shared, equal
-
-    def components(self, queries: list[str]) -> dict[str, np.ndarray]:
+        c = self.compare(queries).exact(np.ones((len(queries), len(self.number)), bool))
+        return c.hybrid, c.shared, c.equal
+
+    def using(self, products: np.ndarray) -> np.ndarray:
+        """Which terms any of the marked products (query, product) uses."""
+        return np.logical_or.reduceat(products[:, self.users], self.user_starts, axis=1)
+
+    def components(self, queries: list[str], compared: "Comparison | None" = None) -> dict[str, np.ndarray]:
         """best, tok, exact and brand of every query and product."""
-        hybrid, shared, equal = self.similarities(queries)
+        if compared is None:
+            compared = self.compare(queries).exact(np.ones((len(queries), len(self.number)), bool))
+        hybrid, shared, equal = compared.hybrid, compared.shared, compared.equal
         size = np.array([len(q.encode()) for q in queries])[:, None]
         comparable = (self.bytes > 0) & (size <= ALIAS_BYTES_RATIO * self.bytes) & (self.bytes <= ALIAS_BYTES_RATIO * size)
         best = self.aliases.most(np.where(comparable, hybrid, 0.0), hybrid[:, self.names].copy())
@@ -124,6 +130,60 @@ class Block:
         return {"best": np.where(exact, 1.0, best), "tok": tok, "exact": exact.astype(float), "brand": brand}
 
 
+def _flat(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return codes[np.arange(codes.shape[1]) < sizes[:, None]]
+
+
+class Comparison:
+    """Queries beside the terms of a block: hybrid is the highest possible value until exact() has been asked for."""
+
+    def __init__(self, block: Block, queries: list[str]) -> None:
+        self.block, self.queries = block, queries
+        ours, theirs = np.array([len(q) for q in queries], np.int64)[:, None], block.patterns.sizes[None, :]
+        self.longer = np.maximum(np.maximum(ours, theirs), 1).astype(float)
+        by_length = 1.0 - np.abs(ours - theirs) / self.longer
+        self.equal = np.zeros(by_length.shape, bool)
+        self.shared = np.zeros(by_length.shape)
+        for i, q in enumerate(queries):
+            if (n := block.number.get(q)) is not None:
+                self.equal[i, n] = True
+            words = q.split(" ")
+            for w in words if q else ():
+                if w in block.words:
+                    self.shared[i, block.words[w]] += 1.0
+            self.shared[i] /= len(words)
+        both = (ours > 0) & (theirs > 0)
+        self.shared[self.equal & both] = 1.0
+        # Under the bound by length that bound is the value itself; an empty text is like no other.
+        self.open = both & ~self.equal & (by_length >= LENGTH_BOUND)
+        near = self.open.any(axis=1)
+        self.codes, self.sizes = block.patterns.coded([q if near[i] else "" for i, q in enumerate(queries)])
+        self.hybrid = self._hybrid(np.where(self.open, self._most_alike(by_length), np.where(both | self.equal, by_length, 0.0)))
+
+    def _most_alike(self, by_length: np.ndarray) -> np.ndarray:
+        """What the letters of either text that the other lacks leave possible."""
+        mine = np.zeros((len(self.queries), self.block.letters.shape[1]), np.float32)
+        np.add.at(mine, (np.repeat(np.arange(len(self.queries)), self.sizes), _flat(self.codes, self.sizes)), 1)
+        theirs = self.block.letters
+        known = np.ones(mine.shape[1], np.float32)
+        known[0] = 0  # letters of no term
+        lacking = np.maximum(
+            self.sizes[:, None] - (mine * known) @ (theirs > 0).astype(np.float32).T, self.block.patterns.sizes[None, :] - ((mine > 0) * known) @ theirs.T
+        )
+        return np.minimum(by_length, 1.0 - lacking / self.longer)
+
+    def _hybrid(self, chars: np.ndarray) -> np.ndarray:
+        return np.where(self.equal, 1.0, CHAR_WEIGHT * chars + TOKEN_WEIGHT * self.shared)
+
+    def exact(self, wanted: np.ndarray) -> "Comparison":
+        """Has the exact value wherever wanted (query, term)."""
+        row, term = np.nonzero(wanted & self.open)
+        far = self.block.patterns.distances(term, self.codes, self.sizes, row, self.queries)
+        self.hybrid[row, term] = CHAR_WEIGHT * (1.0 - far / self.longer[row, term]) + TOKEN_WEIGHT * self.shared[row, term]
+        self.open[row, term] = False
+        return self
+
+
 def total_score(c: dict[str, np.ndarray], ocr: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """The weighted score, at most 1; the order of additions is part of the result."""
     w = WEIGHTS

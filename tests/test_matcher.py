@@ -101,3 +101,21 @@ def test_embedding_has_no_weight(spark, products):
     plain = {r.sku: r.score for r in match_items(items, products).collect()}
     hooked = match_items(items, products, embedding=lambda q, name: F.length(name).cast("double")).collect()
     assert {r.sku: r.score for r in hooked} == plain and {r.embedding_score for r in hooked} == {4.0, 19.0}
+
+
+def test_pruned_equals_full(spark):
+    """The k best found with bounds are those of the full scoring."""
+    import random
+
+    from linematch.operators import matcher
+
+    rnd = random.Random(9)
+    words = ["rice", "red", "brown", "soap", "lux", "tea", "ચોખા", "लाल", "jar", "family"]
+    name = lambda: " ".join(rnd.choices(words, k=rnd.randint(1, 4)))
+    rows = [(i, f"S{i}", name(), rnd.choice(["", "Lux", "Tea Co"]), "", [name() for _ in range(rnd.randint(0, 3))], [name()], ["kg"]) for i in range(60)]
+    many = spark.createDataFrame(rows, SCHEMA)
+    typed = ["".join(rnd.choice([c, c, c, ""]) for c in name()) + rnd.choice(["", " kg", " zz"]) for _ in range(300)] + ["", "q" * 90]
+    items = spark.createDataFrame([(t, rnd.choice(["kg", None]), rnd.choice([None, 0.9])) for t in typed], ITEMS)
+    best = match_items(items, many, k=4)
+    full = matcher._top(matcher.score_components(items, many), 4).select(best.columns)
+    assert sorted(map(repr, best.collect())) == sorted(map(repr, full.collect()))
