@@ -83,7 +83,9 @@ def _candidates(queries: DataFrame, block: DataFrame, k: int | None) -> DataFram
     products = [Product(*r) for r in _normalized(block).collect()]  # under the bound
     spark = queries.sparkSession
     named = F.when(F.col("unit").isNotNull(), normalize_text(F.col("unit"))).alias("unit_norm")
-    spread = queries.select("q", "unit", "ocr", named).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # Equal texts come together, as only unit and confidence tell them apart; being distinct, none of them has many rows.
+    spread = queries.select("q", "unit", "ocr", named).repartition(n, "q").sortWithinPartitions("q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Block | None = None
