@@ -87,3 +87,21 @@ def test_unit_model_is_calibrated(spark):
         assert all(r.guess == "dozen" and r.confidence >= 0.9 for r in got if r.source_code == "tray")
     nothing = UnitModel(spark.createDataFrame([], schema)).predict(spark.createDataFrame(rows[:2], schema)).collect()
     assert [(r.guess, r.confidence) for r in nothing] == [(None, 0.0)] * 2
+
+
+def test_known_values_by_join(spark, monkeypatch):
+    """However many values a catalog has, a field comes out the same; known values without marks count too."""
+    known = ["a,b", "b,c", "c", "d;e;f", "f", "G/h", "Σας,İ", "x, y", '"q"|r', " p|"]
+    texts = ["a,b,c", "c,a,b,c", "d;e;f;f", "[a,b,c]", '"a,b",c', "A,B;g/H", "σΑΣ,b,c", "İ,a,b", "x, y,x ,y", '"q"|r', "p", "c", "", ",", "a,b," * 5_000 + "c"]
+    draw = random.Random(3)
+    texts += ["".join(draw.choices("abcdef,,;/ ", k=draw.randint(1, 14))) for _ in range(400)]
+    rows = [(n, t, None, texts[-n]) for n, t in enumerate(texts)] + [(0, "a,b,c", None, None)] * 3
+    entries = spark.createDataFrame(rows, "entry_id long, aliases string, ocr_errors string, units string")
+    catalog = spark.createDataFrame([(k, "C", "p|z" if k == "c" else None, None, None, None, None, None) for k in known], CATALOG)
+    whole = rows_of(field_values(entries, products=catalog))
+    assert [r[3] for r in whole if r[:2] == (0, "aliases")].count("a,b") == 4
+    for held in (12, 5, 0):
+        monkeypatch.setattr("linematch.functions.segments.DICTIONARY_VALUES", held)
+        monkeypatch.setattr("linematch.functions.segments.SPAN_ROWS", 7, raising=False)
+        assert rows_of(field_values(entries, products=catalog)) == whole
+    assert field_values(entries.limit(0), products=catalog).count() == 0
