@@ -105,3 +105,29 @@ def test_known_values_by_join(spark, monkeypatch):
         monkeypatch.setattr("linematch.functions.segments.SPAN_ROWS", 7, raising=False)
         assert rows_of(field_values(entries, products=catalog)) == whole
     assert field_values(entries.limit(0), products=catalog).count() == 0
+
+
+def test_guesses_count_in_the_review_only(spark, tables, monkeypatch):
+    """Amounts follow the source without any model; a confident guess against the source is for review."""
+    units, sources, entries, catalog = tables
+    made = []
+
+    class Guesser:
+        def __init__(self, labelled):
+            made.append(labelled)
+
+        def predict(self, rows):
+            guess = F.when(F.col("source_code") == "w", "kg").otherwise("dozen")
+            return rows.withColumns({"guess": guess, "confidence": F.when(F.col("quantity") > 4, 0.95).otherwise(0.5)})
+
+    monkeypatch.setattr("linematch.functions.amounts.UnitModel", Guesser)
+    rows = [
+        (1, "rice 5", "Rice", 5.0, None, "w"), (2, "rice 3", "Rice", 3.0, None, "w"), (3, "eggs 5", "eggs", 5.0, None, "t"), (4, "tea 2", "tea", 2.0, None, "p"),
+        (5, "tea 6", "tea", 6.0, None, "new"), (6, "tea 6", "tea", 6.0, None, None), (7, "rice 5 kg", "Rice", 5.0, None, "w"), (8, "tea", "tea", 1e35, "box", "w"), (9, "tea 1 kg", "tea", 1e35, None, "w"),
+    ]
+    items = spark.createDataFrame(rows, "item_id long, raw_text string, product_text string, quantity double, unit string, source_code string")
+    got = [r[1:] for r in rows_of(amounts_to_convert(items, entries, sources, units, catalog))]
+    assert got == [(1, 0, "g", 5), (2, 0, "g", 3), (3, 0, "piece", 60), (7, 0, "g", 5000), (9, 0, "g", 1000)]
+    assert not made
+    review = rows_of(units_for_review(items, sources, units, catalog))
+    assert review == [(1, "kg", 0.95), (4, "dozen", 0.5), (5, "dozen", 0.95), (6, "dozen", 0.95)] and len(made) == 1
